@@ -13,21 +13,28 @@ from veilframe.functions.sqltext import let, lit
 SPAN_TYPE = "struct<start:int,end:int,entity_type:string,score:double,text:string>"
 SPAN_ARRAY = f"array<{SPAN_TYPE}>"
 NO_SPANS = f"cast(array() as {SPAN_ARRAY})"
+_MARK = "'\\u0001'"
 _NO_HITS = "cast(array() as array<struct<start:int,end:int,text:string>>)"
 
 
 def match_offsets(text: str, pattern: str) -> str:
     """Every match of ``pattern`` with its offsets.
 
-    The text between matches (``split``) and the matches (``regexp_extract_all``) alternate, so a
-    running sum of their lengths gives each offset.  The text after the last match pairs with no
-    match.  ``split`` runs only on rows with a match.
+    The text between matches and the matches alternate, so a running sum of their lengths gives
+    each offset.  The text after the last match pairs with no match.  Only rows with a match are
+    split.  ``split`` compiles its pattern anew for every row, so the matches are first replaced by
+    one control character (that pattern is compiled once) and the text is cut there; a text that
+    holds the character itself is split by the pattern.
     """
+    gaps = (
+        f"if(contains({text}, {_MARK}), split({text}, {lit(pattern)}, -1), "
+        f"split(regexp_replace({text}, {lit(pattern)}, {_MARK}), {_MARK}, -1))"
+    )
 
     def locate(found: str) -> str:
         return f"""if(size({found}) > 0,
           aggregate(
-            zip_with(split({text}, {lit(pattern)}, -1), {found},
+            zip_with({gaps}, {found},
                      (gap, hit) -> struct(char_length(gap) as gap, hit as hit)),
             struct(0 as pos, {_NO_HITS} as hits),
             (acc, p) -> if(p.hit is null, acc, struct(
