@@ -253,16 +253,16 @@ ENTRIES["m3_alert_stream"] = (m3_alert_stream, DUCK_ALERTS)
 
 
 def m4_policy_hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two micro-batches; the policy file changes between them."""
+    """The documents arrive twice; the policy changes between the two micro-batches."""
     strict = GovernancePolicy(name="strict", version="2.0", entity_sensitivity={"HIGH": ("EMAIL_ADDRESS",)})
     served = iter([DEFAULT, strict])
     out, audit = shared_folder(spark, "swap"), shared_folder(spark, "swap-audit")
     run = streams.hot_swap(lambda: next(served), "text", ["doc_id"], out, audit, lambda i: BATCH_TS)
-    sources = _two_files(spark, sf_dir)
-    stream = streams.read_stream(spark, sources, "doc_id bigint, text string", maxFilesPerTrigger=1)
-    writer = stream.writeStream.foreachBatch(run).option(
-        "checkpointLocation", shared_folder(spark, "swap-ck"))
-    _finish(writer)
+    source, checkpoint = shared_folder(spark, "swap-source"), shared_folder(spark, "swap-ck")
+    for _ in range(2):
+        _docs(spark, sf_dir).write.mode("append").parquet(source)
+        stream = streams.read_stream(spark, source, "doc_id bigint, text string")
+        _finish(stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint))
     rows = spark.read.parquet(out)
     changes = spark.read.parquet(audit).count()
     return rows.groupBy("policy_applied", "policy_version").agg(
@@ -271,17 +271,8 @@ def m4_policy_hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("policy_changes", F.lit(changes))
 
 
-def _two_files(spark: SparkSession, sf_dir: str) -> str:
-    """The documents in two files, so that a stream of one file per trigger has two batches."""
-    path = shared_folder(spark, "swap-source")
-    for _ in range(2):
-        _docs(spark, sf_dir).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-_EMAILS = duck.spans(duck.DOCS)
 ENTRIES["m4_policy_hot_swap"] = (m4_policy_hot_swap, f"""
-WITH sp AS MATERIALIZED ({_EMAILS})
+WITH sp AS MATERIALIZED ({DUCK_ALL})
 SELECT 'default' AS policy_applied, '1.0' AS policy_version, count(*) AS texts,
   count(*) FILTER (classification = 'RESTRICTED') AS restricted, cast(1 AS bigint) AS policy_changes
 FROM ({duck.per_text(duck.DOCS, 'SELECT * FROM sp', duck.classification() + ' AS classification')})

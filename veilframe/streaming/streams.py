@@ -103,14 +103,16 @@ def hot_swap(
     out_path: str,
     audit_path: str,
     batch_ts: Callable[[int], str],
+    initial: GovernancePolicy | None = None,
     **settings: Any,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that reloads the policy for every micro-batch.
 
     When it differs from that of the previous batch, a ``policy_change`` row is written first.  All
-    output of a batch lies in folders of its own, so a retried batch overwrites itself.
+    output of a batch lies in folders of its own, so a retried batch overwrites itself.  ``initial``
+    is the policy in force before the first batch of this run, for a query that is restarted.
     """
-    state: dict[str, GovernancePolicy] = {}
+    state = {"policy": initial} if initial else {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
