@@ -316,9 +316,9 @@ def g5_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = out.where("entities_found > 0").select("doc_id", F.explode(F.expr(
         "regexp_extract_all(anonymized_text, '[A-Za-z0-9+/]{43,}={0,2}', 0)")).alias("token"))
     return tokens.selectExpr(
-        "doc_id", f"cast(aes_decrypt(unbase64(token), '{key}', 'CBC', 'PKCS') as string) as found",
+        "doc_id", f"cast(try_aes_decrypt(try_to_binary(token, 'base64'), '{key}', 'CBC', 'PKCS') as string) as found",
         "cast(length(token) as bigint) as token_length",
-    )
+    ).where("found is not null")  # other long words of the text are no tokens
 
 
 ENTRIES["g5_encrypt"] = (g5_encrypt, f"""
