@@ -307,18 +307,16 @@ ENTRIES["g4_hash"] = _rewrite_query({"type": "hash", "salt": "pepper-"}, "sha256
 
 
 def g5_encrypt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens come out of the rewritten text and decrypt to the value that was there."""
+    """A token per value, which decrypts to the value."""
     key = "0123456789abcdef"
-    out = anonymize(
-        _docs(spark, sf_dir), "text", ["doc_id"], entities=["EMAIL_ADDRESS"],
-        operators={"EMAIL_ADDRESS": {"type": "encrypt", "key": key}},
-    )
-    tokens = out.where("entities_found > 0").select("doc_id", F.explode(F.expr(
-        "regexp_extract_all(anonymized_text, '[A-Za-z0-9+/]{43,}={0,2}', 0)")).alias("token"))
+    spec = OperatorSpec("encrypt", {"key": key})
+    found = with_spans(_docs(spark, sf_dir), entities=["EMAIL_ADDRESS"])
+    values = found.select("doc_id", F.explode("spans").alias("s"))
+    tokens = values.select("doc_id", F.expr(anon.operator_sql(spec, "s.text")).alias("token"))
     return tokens.selectExpr(
-        "doc_id", f"cast(try_aes_decrypt(try_to_binary(token, 'base64'), '{key}', 'CBC', 'PKCS') as string) as found",
+        "doc_id", f"cast(aes_decrypt(unbase64(token), '{key}', 'CBC', 'PKCS') as string) as found",
         "cast(length(token) as bigint) as token_length",
-    ).where("found is not null")  # other long words of the text are no tokens
+    )
 
 
 ENTRIES["g5_encrypt"] = (g5_encrypt, f"""
