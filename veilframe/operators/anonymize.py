@@ -36,7 +36,8 @@ def operator_sql(spec: OperatorSpec, value: str) -> str:
     key = str(p.get("key", ""))
     if len(key.encode()) not in _AES_KEY_BYTES:
         raise ValueError("encrypt needs a key of 16, 24 or 32 bytes")
-    return f"base64(aes_encrypt({value}, {lit(key)}, 'CBC', 'PKCS'))"
+    # base64 breaks long output into lines; a token must stay on one.
+    return f"translate(base64(aes_encrypt({value}, {lit(key)}, 'CBC', 'PKCS')), '\\r\\n', '')"
 
 
 def _with_default(spec: OperatorSpec, entity_type: str) -> OperatorSpec:
