@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ from veilframe.operators.recognizers import (
     any_of,
 )
 
+# Up to this length a text is searched as a whole: cutting it into lines would cost more.
+WHOLE_CHARS = 600
+
 
 def _context(text: str, start: str, lead: str | None) -> str:
     """The characters just before a span; ``lead`` is what came before ``text`` itself."""
@@ -31,7 +34,10 @@ def _context(text: str, start: str, lead: str | None) -> str:
     )
 
 
-def _recognizer_spans(r: Recognizer, text: str, threshold: float, lead: str | None) -> str:
+def _recognizer_spans(
+    r: Recognizer, text: str, threshold: float, lead: str | None, whole: str, base: str
+) -> str:
+    """Spans of one recognizer in ``text``, a part of ``whole`` that starts at ``base``."""
     hits = [match_offsets(text, p) for p in r.regexes]
     found = hits[0] if len(hits) == 1 else f"array_distinct(concat({', '.join(hits)}))"
     if r.check is not None:
@@ -40,18 +46,32 @@ def _recognizer_spans(r: Recognizer, text: str, threshold: float, lead: str | No
     if r.context_words:
         near = let(
             "before",
-            f"lower({_context(text, 'h.start', lead)})",
+            f"lower({_context(whole, f'(h.start + {base})', lead)})",
             lambda b: f"exists(array({lits(w.lower() for w in r.context_words)}), "
             f"w -> contains({b}, w))",
         )
         score = f"if({near}, {round(r.max_score, 4)}D, {score})"
     spans = (
-        f"transform({found}, h -> struct(h.start as start, h.end as end, "
+        f"transform({found}, h -> struct(h.start + {base} as start, h.end + {base} as end, "
         f"{lit(r.entity_type)} as entity_type, {score} as score, h.text as text))"
     )
     return f"filter({spans}, s -> s.score >= {threshold}D)" if r.score < threshold else spans
 
 
+def _lines_with(text: str, test: Callable[[str], str]) -> str:
+    """Where to look: a short text as a whole, of a long one only the lines that pass ``test``."""
+    start = "struct(0 as pos, cast(array() as array<struct<base:int,line:string>>) as kept)"
+    step = (
+        "(acc, ln) -> struct(acc.pos + char_length(ln) + 1 as pos, "
+        f"if({test('ln')}, array_append(acc.kept, struct(acc.pos as base, ln as line)), acc.kept) "
+        "as kept)"
+    )
+    lines = f"aggregate(split({text}, '\\n', -1), {start}, {step}, acc -> acc.kept)"
+    return (
+        f"if(char_length({text}) <= {WHOLE_CHARS}, array(struct(0 as base, {text} as line)), {lines})"
+    )
+
+
 def spans_sql(
     text: str,
     registry: RecognizerRegistry | None = None,
@@ -69,8 +89,9 @@ def spans_sql(
 
     ``language`` selects recognizers when the plan is built; ``language_col`` selects them per row
     instead.  ``gated`` skips whole groups of recognizers on texts without a character they need,
-    or, by one shared scan, without a match of any of them.  ``extra_span_cols`` names span columns
-    of the caller's own detectors.  ``resolve=False`` keeps overlapping spans.
+    or, by one shared scan, without a match of any of them; in long texts the same test then picks
+    the lines to look at.  It changes the cost, never the result.  ``extra_span_cols`` names span
+    columns of the caller's own detectors.  ``resolve=False`` keeps overlapping spans.
     """
     registry = registry or RecognizerRegistry()
     wanted = None if entities is None else sorted(set(entities))
@@ -85,14 +106,26 @@ def spans_sql(
     def build(t: str) -> str:
         parts = []
         for (gate, languages, headed), members in groups.items():
-            spans = [_recognizer_spans(r, t, score_threshold, lead) for r in members]
-            part = spans[0] if len(spans) == 1 else f"concat({', '.join(spans)})"
             tests = [f"{ident(language_col)} in ({lits(languages)})"] if languages else []
             if gate:
                 tests.append(GATES[gate](t))
+            narrow = GATES[gate] if gate else None
             if gated and headed and len(members) > 1:
-                shared = any_of(p for r in members for p in r.patterns)
-                tests.append(f"{t} rlike {lit(shared)}")
+                shared = lit(any_of(p for r in members for p in r.patterns))
+                narrow = lambda text, shared=shared: f"{text} rlike {shared}"
+                tests.append(narrow(t))
+
+            def found_in(text: str, base: str, members=members) -> str:
+                each = [
+                    _recognizer_spans(r, text, score_threshold, lead, t, base) for r in members
+                ]
+                return each[0] if len(each) == 1 else f"concat({', '.join(each)})"
+
+            if narrow and headed and all(r.line_bounded for r in members):
+                where = _lines_with(t, narrow)
+                part = f"flatten(transform({where}, part -> {found_in('part.line', 'part.base')}))"
+            else:
+                part = found_in(t, "0")
             parts.append(f"if({' and '.join(tests)}, {part}, {NO_SPANS})" if tests else part)
         for name in extra_span_cols:
             named = "" if wanted is None else f" and s.entity_type in ({lits(wanted)})"

@@ -18,7 +18,7 @@ from veilframe.operators import word_lists
 
 CONTEXT_CHARS = 50
 CONTEXT_BOOST = 0.35
-# Above this size a word list belongs in a table (see plans.term_table), not in a pattern.
+# Above this size a word list belongs in a table (see plans.span_tables), not in a pattern.
 MAX_INLINE_TERMS = 1000
 
 
@@ -64,10 +64,24 @@ class HeadedPattern:
 
 
 def any_of(patterns: Iterable[HeadedPattern]) -> str:
-    """A pattern that is found in a text exactly when one of ``patterns`` is."""
-    listed = list(patterns)
-    firsts = "".join(sorted({c for p in listed for c in p.first[1:-1]}))
-    return f"[{firsts}](?:{'|'.join(f'(?<={p.first}){p.guard}{p.rest}' for p in listed)})"
+    """A pattern that is found in a text exactly when one of ``patterns`` is.
+
+    What may not precede the first character is tested before any alternative, so most positions
+    inside words are left at once.
+    """
+    by_guard: dict[str | None, list[HeadedPattern]] = {}
+    for p in patterns:
+        by_guard.setdefault(p.not_after, []).append(p)
+    branches = []
+    for not_after, listed in by_guard.items():
+        guard = f"(?<!{not_after}[{_first_chars(listed)}])" if not_after else ""
+        branches.append(f"{guard}(?:{'|'.join(f'(?<={p.first}){p.rest}' for p in listed)})")
+    every = [p for listed in by_guard.values() for p in listed]
+    return f"[{_first_chars(every)}](?:{'|'.join(branches)})"
+
+
+def _first_chars(patterns: Iterable[HeadedPattern]) -> str:
+    return "".join(sorted({c for p in patterns for c in p.first[1:-1]}))
 
 
 # A gate is a cheap test every text with a match must pass.
