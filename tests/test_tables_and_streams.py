@@ -92,6 +92,20 @@ def test_term_spans(spark):
     assert lower.where("entity_type = 'PRODUCT'").first()["start"] == 20
 
 
+def test_salted_term_join_finds_the_same(spark, docs, monkeypatch):
+    from veilframe.plans import span_tables
+
+    frame = docs.select("doc_id", "text").unionByName(
+        spark.range(2000).selectExpr("-1 - id as doc_id", "'Hot Hot word Hot' as text"))
+    terms = spark.createDataFrame([("Hot", "X"), ("Hot Hot", "X"), ("The", "Y")], "term string, entity_type string")
+    broadcast = term_spans(frame, "text", ["doc_id"], terms)
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(span_tables, "BROADCAST_BYTES", -1)
+    salted = term_spans(frame, "text", ["doc_id"], terms)
+    assert _rows(salted, "doc_id") == _rows(broadcast, "doc_id")
+    assert salted.where("text = 'Hot Hot'").count() == 2000
+
+
 def test_term_spans_brute_force(spark, docs):
     import re
 

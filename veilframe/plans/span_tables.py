@@ -16,6 +16,9 @@ from veilframe.operators.recognizers import CONTEXT_CHARS, RecognizerRegistry
 # A term's words: letters of any script, digits and the marks names are written with.
 TOKEN = r"[\p{L}\p{N}_#'-]+"
 SECTION_CHARS = 5000
+# A term list is broadcast up to this size; each entry is counted with the overhead of a hash row.
+BROADCAST_BYTES = 32 * 1024 * 1024
+TERM_OVERHEAD = 64
 
 
 def _sectioned(
@@ -76,17 +79,22 @@ def term_spans(
     score: float = 0.6,
     max_words: int | None = None,
     capitalised: bool = True,
+    salts: int = 16,
 ) -> DataFrame:
     """Spans of the words and phrases listed in ``terms(term, entity_type)``.
 
-    Word n-grams are joined to the table on equality.  No broadcast is forced: Spark broadcasts a
-    list below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles words, not texts,
-    with its skew handling for frequent ones.  ``max_words`` defaults to the longest listed term.
+    Word n-grams are joined to the table on equality; what is shuffled is words, never texts.  The
+    list is broadcast if its measured size allows.  A larger one is shuffled and every term repeated
+    for ``salts`` salts, so a word that makes up a large share of all words is spread over as many
+    tasks.  ``max_words`` defaults to the longest listed term.  ``id_cols`` must identify a text.
     """
     listed = terms.select("term", "entity_type").distinct()
-    if max_words is None:
-        words = F.max(F.size(F.split("term", " ")))
-        max_words = int(listed.agg(words.alias("n")).first()["n"] or 1)
+    size = listed.agg(
+        F.max(F.size(F.split("term", " "))).alias("words"),
+        F.sum(F.octet_length("term") + F.octet_length("entity_type") + TERM_OVERHEAD).alias("bytes"),
+    ).first()
+    max_words = max_words or int(size["words"] or 1)
+    small = (size["bytes"] or 0) <= BROADCAST_BYTES
     parts = _sectioned(df, text_col, id_cols, SECTION_CHARS)
     tokens = parts.select(
         *id_cols, "base", "piece", F.expr(f"explode(array({match_offsets('piece', TOKEN)}))").alias("w")
@@ -103,7 +111,14 @@ def term_spans(
         ))
     every = grams[0] if len(grams) == 1 else f"concat({', '.join(grams)})"
     rows = tokens.select(*id_cols, "base", F.explode(F.expr(every)).alias("g"))
-    hits = rows.join(listed, F.col("g.text") == listed["term"]).select(
+    if small:
+        joined = rows.join(F.broadcast(listed), F.col("g.text") == F.col("term"))
+    else:
+        salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = rows.withColumn("row_salt", F.pmod(F.xxhash64(*id_cols, "base", "g.start"), F.lit(salts)))
+        on = (F.col("g.text") == F.col("term")) & (F.col("row_salt") == F.col("salt"))
+        joined = spread.join(salted, on)
+    hits = joined.select(
         *id_cols,
         (F.col("g.start") + F.col("base")).alias("start"),
         (F.col("g.end") + F.col("base")).alias("end"),
