@@ -10,13 +10,15 @@ from __future__ import annotations
 import json
 import os
 import time
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.governance import ALERTING, event_audit
 from catalog.tables import cases
-from veilframe import RecognizerRegistry, analyze, anonymize, classify, read_texts, scan_and_protect
+from veilframe import RecognizerRegistry, read_texts
+from veilframe.plans import protect
 from veilframe.plans import audit, jobs
 from veilframe.plans.span_tables import detect_long, term_spans
 from veilframe.session import local_session
@@ -25,6 +27,12 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 BATCH_TS = "2026-01-01 00:00:00"
 
+# Every text is processed in full, however long.
+analyze, anonymize, classify, scan_and_protect = (
+    partial(call, max_chars=0)
+    for call in (protect.analyze, protect.anonymize, protect.classify, protect.scan_and_protect)
+)
+
 
 def _docs(spark: SparkSession, keep=()) -> DataFrame:
     return read_texts(
@@ -57,10 +65,10 @@ def queries(spark: SparkSession) -> dict:
         "g8_dense_short_texts": lambda: anonymize(
             cases(spark, SF_DIR, "MIXED").repartition(4 * CPUS, "id"), "text", ["id"],
             batch_ts=BATCH_TS),
-        "l1_tiered_routing": lambda: jobs.tiered_route(_docs(spark), "text", ["doc_id"]),
-        "l4_dashboard": lambda: jobs.dashboard(_docs(spark, ["source"]), "text", "source"),
+        "l1_tiered_routing": lambda: jobs.tiered_route(_docs(spark), "text", ["doc_id"], max_chars=0),
+        "l4_dashboard": lambda: jobs.dashboard(_docs(spark, ["source"]), "text", "source", max_chars=0),
         "l7_column_profile": lambda: jobs.column_profile(
-            spark.read.parquet(f"{SF_DIR}/pages.parquet").repartition(4 * CPUS, "page_id")),
+            spark.read.parquet(f"{SF_DIR}/pages.parquet").repartition(4 * CPUS, "page_id"), max_chars=0),
         "j4_newest_audit": lambda: audit.query_audit(event_audit(spark, SF_DIR), 50, action_type="classify"),
         "l3_evidence": lambda: jobs.compliance_evidence(event_audit(spark, SF_DIR)),
     }

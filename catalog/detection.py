@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,17 @@ from veilframe.functions.spans import SPAN_ARRAY, entity_types
 from veilframe.operators.custom_detectors import arrow_detector
 from veilframe.operators.detect import detect
 from veilframe.operators.recognizers import RecognizerRegistry
-from veilframe.plans.protect import analyze, explode_spans, split_by_size, with_spans
+from veilframe.plans import protect
+from veilframe.plans.protect import explode_spans, split_by_size
 from veilframe.plans.span_tables import collect_spans, detect_long, term_spans
 from veilframe.sources.readers import read_texts
 
 ENTRIES: dict = {}
 
+# Whole texts, however long; the size limit has queries of its own (a4, i1).
+analyze = partial(protect.analyze, max_chars=0)
+with_spans = partial(protect.with_spans, max_chars=0)
+
 FOUND = "array_join(array_sort(transform(spans, s -> s.text)), '|')"
 DUCK_FOUND = "coalesce(string_agg(sp.v, '|' ORDER BY sp.v), '') AS found"
 DUCK_N = "count(sp.id) AS n"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,19 +12,18 @@ from catalog.tables import BATCH_TS, K, case_sql, cases, documents, table
 from veilframe.operators import alerts, anonymize as anon, classify as cls
 from veilframe.operators.policy import AlertRule, AuditSettings, GovernancePolicy, OperatorSpec
 from veilframe.plans import audit as au
-from veilframe.plans.protect import (
-    analyze,
-    anonymize,
-    classified_columns,
-    classify,
-    explode_spans,
-    scan_and_protect,
-    with_spans,
-)
+from veilframe.plans import protect
+from veilframe.plans.protect import classified_columns, explode_spans
 from veilframe.session import shared_folder
 from veilframe.sources import sinks
 
 ENTRIES: dict = {}
+
+# Whole texts, however long; the size limit has queries of its own (a4, i1).
+analyze, anonymize, classify, scan_and_protect, with_spans = (
+    partial(call, max_chars=0)
+    for call in (protect.analyze, protect.anonymize, protect.classify, protect.scan_and_protect, protect.with_spans)
+)
 DEFAULT = GovernancePolicy()
 AUDIT_ID = "substr(sha256(concat_ws('|', '{0}', cast({1} AS string), 'default', '1.0', '" + BATCH_TS + "')), 1, 12)"
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import duck
-from catalog.governance import ALERTING, DEFAULT, DUCK_ALERTS, DUCK_EVENTS, DUCK_STATE, event_audit
+from catalog.governance import (
+    ALERTING, DEFAULT, DUCK_ALERTS, DUCK_EVENTS, DUCK_STATE, event_audit, scan_and_protect,
+)
 from catalog.tables import BATCH_TS, documents, table
 from veilframe.functions import text as tx
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.plans import jobs
-from veilframe.plans.protect import scan_and_protect
 from veilframe.session import shared_folder
 from veilframe.streaming import streams
 
@@ -46,7 +47,7 @@ SELECT doc_id, cast(i AS bigint) AS no, substr(text, i * 4800 + 1, 5000) AS chun
 # --- L: jobs -------------------------------------------------------------------------------------
 
 def l1_tiered_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.tiered_route(_docs(spark, sf_dir), "text", ["doc_id"])
+    out = jobs.tiered_route(_docs(spark, sf_dir), "text", ["doc_id"], max_chars=0)
     return out.selectExpr("doc_id", "classification", "route", "released_text",
                           "array_join(entity_types, ',') as entity_types")
 
@@ -64,7 +65,7 @@ FROM x JOIN r ON r.id = x.id JOIN documents d ON d.doc_id = x.id""")
 
 def l1_written_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "routes")
-    jobs.write_routed(jobs.tiered_route(_docs(spark, sf_dir), "text", ["doc_id"]), path)
+    jobs.write_routed(jobs.tiered_route(_docs(spark, sf_dir), "text", ["doc_id"], max_chars=0), path)
     return spark.read.parquet(path).groupBy("route").agg(
         F.count(F.lit(1)).alias("texts"), F.count("released_text").alias("released"))
 
@@ -76,7 +77,7 @@ FROM ({DUCK_STATE}) GROUP BY 1""")
 
 
 def l2_leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.leak_gate(_docs(spark, sf_dir), "text").selectExpr(
+    return jobs.leak_gate(_docs(spark, sf_dir), "text", max_chars=0).selectExpr(
         "doc_id", "cast(entities_found as bigint) as entities_found", "verdict")
 
 
@@ -86,9 +87,9 @@ FROM ({DUCK_STATE})""")
 
 
 def l2_gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = jobs.gate_summary(jobs.leak_gate(_docs(spark, sf_dir), "text")).withColumn("corpus", F.lit("documents"))
+    docs = jobs.gate_summary(jobs.leak_gate(_docs(spark, sf_dir), "text", max_chars=0)).withColumn("corpus", F.lit("documents"))
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    items = jobs.gate_summary(jobs.leak_gate(bench, "text")).withColumn("corpus", F.lit("benchmark"))
+    items = jobs.gate_summary(jobs.leak_gate(bench, "text", max_chars=0)).withColumn("corpus", F.lit("benchmark"))
     return docs.unionByName(items)
 
 
@@ -116,7 +117,7 @@ FROM ({DUCK_EVENTS}) WHERE classification = 'CONFIDENTIAL' GROUP BY 1, 2, 3""")
 
 def l4_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    return jobs.dashboard(docs, "text", "source").selectExpr(
+    return jobs.dashboard(docs, "text", "source", max_chars=0).selectExpr(
         "coalesce(source, 'ALL') as source", "coalesce(entity_type, 'ALL') as entity_type",
         "cast(entities as bigint) as entities", "rows_affected")
 
@@ -164,8 +165,8 @@ JOIN conversations c ON c.conv_id * 100000 + c.turn = x.id GROUP BY role, classi
 
 
 def l7_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.column_profile(table(spark, sf_dir, "pages")).withColumn("table_name", F.lit("pages"))
-    docs = jobs.column_profile(table(spark, sf_dir, "documents")).withColumn("table_name", F.lit("documents"))
+    out = jobs.column_profile(table(spark, sf_dir, "pages"), max_chars=0).withColumn("table_name", F.lit("pages"))
+    docs = jobs.column_profile(table(spark, sf_dir, "documents"), max_chars=0).withColumn("table_name", F.lit("documents"))
     return out.unionByName(docs)
 
 
@@ -193,7 +194,7 @@ def _finish(writer) -> None:
 
 
 def m1_stream_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.protect_stream(_doc_stream(spark, sf_dir), "text", ["doc_id"], batch_ts=BATCH_TS)
+    out = streams.protect_stream(_doc_stream(spark, sf_dir), "text", ["doc_id"], batch_ts=BATCH_TS, max_chars=0)
     rows = out.select("doc_id", "classification", "entities_found", "protected_text")
     path = shared_folder(spark, "protected")
     _finish(streams.to_files(rows, path, shared_folder(spark, "protected-ck")))
@@ -238,7 +239,7 @@ def m3_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _doc_stream(spark, sf_dir)
     twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
         "ts", F.lit(BATCH_TS).cast("timestamp")).select("doc_id", "text", "ts")
-    governed = streams.protect_stream(twice, "text", ["doc_id"], policy=ALERTING, batch_ts=BATCH_TS)
+    governed = streams.protect_stream(twice, "text", ["doc_id"], policy=ALERTING, batch_ts=BATCH_TS, max_chars=0)
     alerts = streams.alert_stream(governed, ["doc_id"], "ts")
     path = shared_folder(spark, "alerts")
     writer = alerts.writeStream.foreachBatch(streams.append_batches(path)).option(
@@ -257,7 +258,7 @@ def m4_policy_hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = GovernancePolicy(name="strict", version="2.0", entity_sensitivity={"HIGH": ("EMAIL_ADDRESS",)})
     served = iter([DEFAULT, strict])
     out, audit = shared_folder(spark, "swap"), shared_folder(spark, "swap-audit")
-    run = streams.hot_swap(lambda: next(served), "text", ["doc_id"], out, audit, lambda i: BATCH_TS)
+    run = streams.hot_swap(lambda: next(served), "text", ["doc_id"], out, audit, lambda i: BATCH_TS, max_chars=0)
     source, checkpoint = shared_folder(spark, "swap-source"), shared_folder(spark, "swap-ck")
     for _ in range(2):
         _docs(spark, sf_dir).write.mode("append").parquet(source)
