@@ -54,7 +54,8 @@ def _partition(rows: DataFrame, first_run: int, growth: int) -> DataFrame:
     """(key, id, text) to (key, id, keep_id, group_size, kept, sha)."""
     base = rows.select("*", F.octet_length("text").cast("long").alias("group"),
                        _run(F.col("text"), 1, first_run).alias("run"))
-    shared = base.groupBy("group", "run").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that both sides of the join are plain exchanges, which Spark can split where a key is hot.
+    shared = written(base.groupBy("group", "run").agg(F.count("*").alias("n")).where("n > 1"), "exact-shared")
     start = written(
         base.join(shared, ["group", "run"], "left").select(
             F.monotonically_increasing_id().alias("row"), "key", "id", F.sha2("text", 256).alias("sha"), "group",
@@ -66,8 +67,8 @@ def _partition(rows: DataFrame, first_run: int, growth: int) -> DataFrame:
     live, width = start.where("run is not null"), first_run
     while not live.isEmpty():
         # A group of the last round and the run of bytes that follows make a group of this round.
-        counted = live.groupBy("group", "run").agg(
-            F.count("*").alias("n"), F.min("row").alias("next"), F.max(F.struct("id", "row")).alias("top"))
+        counted = written(live.groupBy("group", "run").agg(
+            F.count("*").alias("n"), F.min("row").alias("next"), F.max(F.struct("id", "row")).alias("top")), "exact-counted")
         width *= growth
         more = (F.col("n") > 1) & (F.length("rest") > 0)
         step = written(

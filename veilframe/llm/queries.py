@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontaminate, exact_dedup, url_filter, warc
+from veilframe.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    packing,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +39,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_later_copies(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +59,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -69,10 +110,43 @@ select page_id, payload_bytes, translate(upper({_BASE32}), '0123456789ABCDEFGHIJ
        case when f <> page_id then f end as refers_to
 from q"""
 
+OP5_SQL = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as k
+        from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) as i from h)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as n from win) where n > 1),
+edge as (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from again),
+run as (select doc_id, i, sum(case when p is null or i > p + 200 then 1 else 0 end) over (partition by doc_id order by i) as r from edge),
+span as (select doc_id, r, min(i) as a, max(i) + 200 as b from run group by 1, 2),
+sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from span group by 1),
+bounds as (select doc_id, b as a, lead(a) over (partition by doc_id order by a) as b from span
+           union all select doc_id, 0, min(a) from span group by 1),
+kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a) as k
+         from bounds join h using (doc_id) group by 1)
+select h.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from h left join sums using (doc_id) left join kept using (doc_id)"""
+
+OP9_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, w[i:i + 19] as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from win) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from later),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d where len(w) > 0),
+kept as (select doc_id, string_agg(x, ' ' order by p) as k, count(*) as n from words anti join gone using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
 #: name -> (query, SQL or None)
 ENTRIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_url_filter": (op2_url_filter, None),
+    "op3_jaccard_join": (op3_jaccard_join, None),
+    "op4_html_text": (op4_html_text, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, OP5_SQL),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op7_packing": (op7_packing, None),
     "op8_warc": (op8_warc, OP8_SQL),
+    "op9_substring_dedup": (op9_substring_dedup, OP9_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }
