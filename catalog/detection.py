@@ -71,8 +71,8 @@ def a4_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES["a4_size_guard"] = (a4_size_guard, """
 SELECT doc_id, length(text) <= 5000 AS accepted,
-  CASE WHEN length(text) > 5000 THEN 'Input text too large (' || length(text) ||
-    ' chars). Maximum is 5000 chars. Set max_chars to adjust.' END AS error
+  CASE WHEN length(text) > 5000 THEN 'text too large: ' || length(text) ||
+    ' characters, limit 5000' END AS error
 FROM documents""")
 
 # --- detection ---------------------------------------------------------------------------------

@@ -434,7 +434,7 @@ LEFT JOIN ({DUCK_ALERTS}) a ON a.rule = r.rule GROUP BY ALL""")
 # --- I: the four calls ----------------------------------------------------------------------------
 
 def i1_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analyze(_docs(spark, sf_dir), "text", ["doc_id"], batch_ts=BATCH_TS, max_chars=20_000)
+    out = analyze(_docs(spark, sf_dir), "text", ["doc_id"], batch_ts=BATCH_TS)
     return out.selectExpr(
         "doc_id", "cast(entities_found as bigint) as entities_found",
         "array_join(transform(results, r -> concat(r.entity_type, ':', r.start, '-', r.end)), ',') as results",
@@ -442,14 +442,11 @@ def i1_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FITS = "SELECT doc_id AS id, text FROM documents WHERE length(text) <= 20000"
 ENTRIES["i1_analyze"] = (i1_analyze, f"""
-WITH sp AS MATERIALIZED ({duck.spans(_FITS)})
-SELECT d.doc_id, CASE WHEN length(d.text) <= 20000 THEN count(sp.id) END AS entities_found,
-  CASE WHEN length(d.text) <= 20000 THEN coalesce(string_agg(sp.entity_type || ':' || sp.s || '-' || sp.e, ','
-    ORDER BY sp.s), '') END AS results,
-  CASE WHEN length(d.text) <= 20000 THEN {AUDIT_ID.format('analyze', 'd.doc_id')} END AS analysis_id,
-  length(d.text) > 20000 AS refused
+WITH sp AS MATERIALIZED ({duck.spans(duck.DOCS)})
+SELECT d.doc_id, count(sp.id) AS entities_found,
+  coalesce(string_agg(sp.entity_type || ':' || sp.s || '-' || sp.e, ',' ORDER BY sp.s), '') AS results,
+  {AUDIT_ID.format('analyze', 'd.doc_id')} AS analysis_id, false AS refused
 FROM documents d LEFT JOIN sp ON sp.id = d.doc_id GROUP BY d.doc_id, d.text""")
 
 
@@ -538,7 +535,7 @@ def _flat_audit(audit: DataFrame) -> DataFrame:
 
 _DUCK_AUDIT_COLUMNS = f"""'{BATCH_TS}' AS ts, {duck.classification()} AS classification,
   count(sp.id) AS entities_found, {DUCK_TYPES} AS entity_types, 'default' AS policy_name,
-  '1.0' AS policy_version, cast(0 AS bigint) AS metadata_entries"""
+  '1.0' AS policy_version, cast(1 AS bigint) AS metadata_entries"""
 
 
 def _duck_audit(action: str, rewrites: bool) -> str:

@@ -118,13 +118,14 @@ FROM ({DUCK_EVENTS}) WHERE classification = 'CONFIDENTIAL' GROUP BY 1, 2, 3""")
 def l4_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return jobs.dashboard(docs, "text", "source", max_chars=0).selectExpr(
-        "coalesce(source, 'ALL') as source", "coalesce(entity_type, 'ALL') as entity_type",
-        "cast(entities as bigint) as entities", "rows_affected")
+        "if(level = 2, 'ALL', source) as source", "if(level > 0, 'ALL', entity_type) as entity_type",
+        "cast(level as bigint) as level", "cast(entities as bigint) as entities", "rows_affected")
 
 
 ENTRIES["l4_dashboard"] = (l4_dashboard, f"""
-SELECT coalesce(source, 'ALL') AS source, coalesce(entity_type, 'ALL') AS entity_type, count(*) AS entities,
-  CASE WHEN grouping(entity_type) = 0 THEN count(DISTINCT id) END AS rows_affected
+SELECT coalesce(source, 'ALL') AS source, coalesce(entity_type, 'ALL') AS entity_type,
+  cast(grouping(entity_type) + grouping(source) AS bigint) AS level, count(*) AS entities,
+  count(DISTINCT id) AS rows_affected
 FROM ({DUCK_ALL}) sp JOIN documents d ON d.doc_id = sp.id
 GROUP BY ROLLUP (source, entity_type)""")
 

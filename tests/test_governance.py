@@ -227,27 +227,27 @@ def test_policy_set(spark):
     assert POLICY.summary_df(spark).first()["score_threshold"] == 0.4
 
 
-def test_policy_files(tmp_path):
+def test_policy_files(spark, tmp_path):
     file = tmp_path / "p.json"
     file.write_text(json.dumps({
         "name": "j", "alerts": [{"name": "a", "condition": "entities_found > 1"}],
         "operator_overrides": {"URL": {"operator": "hash"}}, "audit": {"exporters": [{"type": "stdout"}]},
         "anonymization": {"HIGH": {"operator": "mask"}}, "something_else": 1}))
-    policy = load_policy(file)
+    policy = load_policy(spark, file)
     assert policy.name == "j" and policy.alerts[0].level == "WARNING"
     assert policy.operator_for("URL").operator == "hash" and policy.operator_for("US_SSN").operator == "mask"
     assert policy.operator_for("EMAIL_ADDRESS").params == {"new_value": "[EMAIL_ADDRESS]"}  # no MEDIUM default
-    assert load_policy_or_default(tmp_path / "none.json") == GovernancePolicy()
+    assert load_policy_or_default(spark, tmp_path / "none.json") == GovernancePolicy()
     yaml = pytest.importorskip("yaml")
     other = tmp_path / "p.yml"
     other.write_text(yaml.safe_dump({"name": "y", "entity_sensitivity": {"HIGH": ["SALARY"]}}))
-    assert load_policy(other).sensitivity_of("SALARY") == "HIGH"
+    assert load_policy(spark, other).sensitivity_of("SALARY") == "HIGH"
     with pytest.raises(FileNotFoundError):
-        load_policy_mapping(tmp_path / "none.yaml")
+        load_policy_mapping(spark, tmp_path / "none.yaml")
     for name, text in (("p.toml", "a = 1"), ("l.json", "[1]")):
         (tmp_path / name).write_text(text)
         with pytest.raises(ValueError):
-            load_policy_mapping(tmp_path / name)
+            load_policy_mapping(spark, tmp_path / name)
     for raw in ({"entity_sensitivity": {"TOP": ["A"]}}, {"name": 3}, {"anonymization": {"LOW": {"operator": "x"}}}):
         with pytest.raises(ValueError):
             GovernancePolicy.from_mapping(raw)

@@ -17,11 +17,41 @@ _MARK = "'\\u0001'"
 _NO_HITS = "cast(array() as array<struct<start:int,end:int,text:string>>)"
 
 
+BLOCK = 64
+
+
+def prefixes(values: str, larger: bool = False) -> str:
+    """For each value the sum (or with ``larger`` the maximum) of those before it, 0 for the first.
+
+    In two levels, blocks and values within them: appending to an array copies it, so one fold over
+    all values would take time in proportion to the square of their number.
+    """
+    step = "greatest(acc.at, v)" if larger else "acc.at + v"
+    total = f"aggregate(blk, 0, (t, v) -> {'greatest(t, v)' if larger else 't + v'})"
+    fold = (
+        "aggregate({0}, struct({1} as at, cast(array() as array<int>) as done), (acc, v) -> "
+        f"struct({step} as at, array_append(acc.done, acc.at) as done), acc -> acc.done)"
+    )
+
+    def joined(blocks: str) -> str:
+        starts = fold.format(f"transform({blocks}, blk -> {total})", "0")
+        return f"flatten(zip_with({blocks}, {starts}, (blk, from_) -> {fold.format('blk', 'from_')}))"
+
+    def cut(v: str) -> str:
+        blocks = f"transform(sequence(1, size({v}), {BLOCK}), b -> slice({v}, b, {BLOCK}))"
+        return (
+            f"if(size({v}) = 0, cast(array() as array<int>), if(size({v}) <= {BLOCK}, "
+            f"{fold.format(v, '0')}, {let('blocks', blocks, joined)}))"
+        )
+
+    return let("vals", values, cut)
+
+
 def match_offsets(text: str, pattern: str) -> str:
-    """Every match of ``pattern`` with its offsets.
+    """Every match of ``pattern`` that is not empty, with its offsets.
 
-    The text between matches and the matches alternate, so a running sum of their lengths gives
-    each offset.  The text after the last match pairs with no match.  Only rows with a match are
+    The text between matches and the matches alternate, so running sums of their lengths give the
+    offsets.  The text after the last match pairs with no match.  Only rows with a match are
     split.  ``split`` compiles its pattern anew for every row, so the matches are first replaced by
     one control character (that pattern is compiled once) and the text is cut there; a text that
     holds the character itself is split by the pattern.
@@ -31,20 +61,19 @@ def match_offsets(text: str, pattern: str) -> str:
         f"split(regexp_replace({text}, {lit(pattern)}, {_MARK}), {_MARK}, -1))"
     )
 
+    def place(pairs: str) -> str:
+        before = prefixes(f"transform({pairs}, p -> p.gap + char_length(p.hit))")
+        return (
+            f"filter(zip_with({pairs}, {before}, (p, at) -> struct(at + p.gap as start, "
+            "at + p.gap + char_length(p.hit) as end, p.hit as text)), h -> h.end > h.start)"
+        )
+
     def locate(found: str) -> str:
-        return f"""if(size({found}) > 0,
-          aggregate(
-            zip_with({gaps}, {found},
-                     (gap, hit) -> struct(char_length(gap) as gap, hit as hit)),
-            struct(0 as pos, {_NO_HITS} as hits),
-            (acc, p) -> if(p.hit is null, acc, struct(
-              acc.pos + p.gap + char_length(p.hit) as pos,
-              array_append(acc.hits, struct(
-                acc.pos + p.gap as start,
-                acc.pos + p.gap + char_length(p.hit) as end,
-                p.hit as text)) as hits)),
-            acc -> acc.hits),
-          {_NO_HITS})"""
+        pairs = (
+            f"filter(zip_with({gaps}, {found}, (gap, hit) -> struct(char_length(gap) as gap, "
+            "hit as hit)), p -> p.hit is not null)"
+        )
+        return f"if(size({found}) > 0, {let('pairs', pairs, place)}, {_NO_HITS})"
 
     return let("found", f"regexp_extract_all({text}, {lit(pattern)}, 0)", locate)
 
@@ -90,14 +119,19 @@ def resolve_overlaps(spans: str) -> str:
 
 
 def _runs(ordered: str) -> str:
-    """Start-ordered spans cut into maximal runs of chained overlaps."""
-    return f"""aggregate({ordered},
-        struct(cast(array() as array<{SPAN_ARRAY}>) as done, {NO_SPANS} as run, 0 as reach),
-        (acc, s) -> if(s.start < acc.reach,
-          struct(acc.done as done, array_append(acc.run, s) as run,
-                 greatest(acc.reach, s.end) as reach),
-          struct(array_append(acc.done, acc.run) as done, array(s) as run, s.end as reach)),
-        acc -> array_append(acc.done, acc.run))"""
+    """Start-ordered spans cut into maximal runs of chained overlaps.
+
+    A run opens where a span starts at or after the farthest end so far.
+    """
+    reach = prefixes(f"transform({ordered}, s -> s.end)", larger=True)
+    opens = (
+        f"filter(zip_with(sequence(1, size({ordered})), zip_with({ordered}, {reach}, (s, r) -> "
+        "s.start >= r), (i, o) -> if(o, i, null)), i -> i is not null)"
+    )
+    return let("opens", opens, lambda o: (
+        f"zip_with({o}, concat(slice({o}, 2, size({o})), array(size({ordered}) + 1)), "
+        f"(a, b) -> slice({ordered}, a, b - a))"
+    ))
 
 
 def _best(run: str) -> str:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from veilframe.functions.sqltext import lit
 
-DEFAULT_MAX_CHARS = 100_000
+#: No limit: every text is read in full unless the caller asks for a guard.
+DEFAULT_MAX_CHARS = 0
 
 
 def size_error(text: str, max_chars: int = DEFAULT_MAX_CHARS) -> str:
     """A message where the text is longer than ``max_chars`` (0 = no limit), else NULL."""
     if max_chars <= 0:
         return "cast(null as string)"
-    tail = lit(f" chars). Maximum is {max_chars} chars. Set max_chars to adjust.")
     return (
         f"if(char_length({text}) > {max_chars}, "
-        f"concat('Input text too large (', char_length({text}), {tail}), cast(null as string))"
+        f"concat('text too large: ', char_length({text}), ' characters, limit {max_chars}'), "
+        "cast(null as string))"
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import NO_SPANS, match_offsets, resolve_overlaps
+from veilframe.functions.spans import NO_SPANS, match_offsets, prefixes, resolve_overlaps
 from veilframe.functions.sqltext import ident, let, lit, lits
 from veilframe.operators.recognizers import (
     CONTEXT_CHARS,
@@ -40,6 +40,11 @@ def _recognizer_spans(
     """Spans of one recognizer in ``text``, a part of ``whole`` that starts at ``base``."""
     hits = [match_offsets(text, p) for p in r.regexes]
     found = hits[0] if len(hits) == 1 else f"array_distinct(concat({', '.join(hits)}))"
+    if r.refine is not None:
+        found = (
+            f"flatten(transform({found}, h -> transform({r.refine('h.text')}, r -> struct(h.start + r.at as "
+            "start, h.start + r.at + char_length(r.text) as end, r.text as text))))"
+        )
     if r.check is not None:
         found = f"filter({found}, h -> {r.check('h.text')})"
     score = f"{round(r.score, 4)}D"
@@ -60,13 +65,14 @@ def _recognizer_spans(
 
 def _lines_with(text: str, test: Callable[[str], str]) -> str:
     """Where to look: a short text as a whole, of a long one only the lines that pass ``test``."""
-    start = "struct(0 as pos, cast(array() as array<struct<base:int,line:string>>) as kept)"
-    step = (
-        "(acc, ln) -> struct(acc.pos + char_length(ln) + 1 as pos, "
-        f"if({test('ln')}, array_append(acc.kept, struct(acc.pos as base, ln as line)), acc.kept) "
-        "as kept)"
-    )
-    lines = f"aggregate(split({text}, '\\n', -1), {start}, {step}, acc -> acc.kept)"
+    def placed(lines: str) -> str:
+        starts = prefixes(f"transform({lines}, ln -> char_length(ln) + 1)")
+        return (
+            f"filter(zip_with({lines}, {starts}, (ln, at) -> struct(at as base, ln as line)), "
+            f"part -> {test('part.line')})"
+        )
+
+    lines = let("lines", f"split({text}, '\\n', -1)", placed)
     return (
         f"if(char_length({text}) <= {WHOLE_CHARS}, array(struct(0 as base, {text} as line)), {lines})"
     )

@@ -14,12 +14,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.functions import checksums
+from veilframe.functions.spans import prefixes
+from veilframe.functions.sqltext import let, lit
 from veilframe.operators import word_lists
 
 CONTEXT_CHARS = 50
 CONTEXT_BOOST = 0.35
-# Above this size a word list belongs in a table (see plans.span_tables), not in a pattern.
-MAX_INLINE_TERMS = 1000
 
 
 def _chars(ranges: str) -> str:
@@ -102,6 +102,8 @@ class Recognizer:
     patterns: tuple[str | HeadedPattern, ...]
     score: float
     check: Callable[[str], str] | None = None  # SQL text over the match
+    # SQL text over the match: the exact matches in it, array<struct<at int, text string>>
+    refine: Callable[[str], str] | None = None
     context_words: tuple[str, ...] = ()
     gate: str | None = None
     languages: tuple[str, ...] = ()  # empty: every language
@@ -133,18 +135,73 @@ class Recognizer:
 
 
 def term_pattern(terms: Iterable[str], tail: str = _E) -> HeadedPattern:
-    """Pattern for the words or phrases of a short list, longest first; ``tail`` ends the match."""
-    listed = sorted(set(terms), key=lambda t: (-len(t), t))
-    if not listed or len(listed) > MAX_INLINE_TERMS:
-        raise ValueError(f"an inline term list holds 1 to {MAX_INLINE_TERMS} terms; use a table")
-    by_initial: dict[str, list[str]] = {}
+    """Pattern for the words or phrases of a list, longest first; ``tail`` ends the match.
+
+    The terms form a tree of letters, so a place in the text costs the letters it shares with the
+    list, not the length of the list.
+    """
+    listed = sorted(set(terms) - {""})
+    if not listed:
+        raise ValueError("a term list needs a term")
+    tree: dict = {}
     for term in listed:
-        by_initial.setdefault(term[0], []).append(re.escape(term[1:]))
-    initials = "".join(re.escape(c) for c in sorted(by_initial))
-    words = "|".join(
-        f"(?<={re.escape(c)})(?:{'|'.join(rest)})" for c, rest in sorted(by_initial.items())
+        node = tree
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    words = "|".join(f"(?<={re.escape(c)}){_branches(below)}" for c, below in tree.items())
+    return HeadedPattern(f"[{''.join(re.escape(c) for c in tree)}]", f"(?:{words}){tail}")
+
+
+def _branches(node: dict) -> str:
+    """What may follow a place in the tree; longer terms are tried first."""
+    optional, letters = "" in node, [c for c in node if c]
+    run = ""
+    while not optional and len(letters) == 1:  # a stretch without branches
+        run += re.escape(letters[0])
+        node = node[letters[0]]
+        optional, letters = "" in node, [c for c in node if c]
+    if not letters:
+        return run
+    inner = "|".join(re.escape(c) + _branches(node[c]) for c in letters)
+    return f"{run}(?:{inner}){'?' if optional else ''}"
+
+
+def _whole_address(match: str) -> str:
+    """The e-mail address at the head of a run of address characters.
+
+    The pattern takes the whole run after the sign, which the engine does in a loop; nested groups, one
+    turn per label, would overflow its stack on long junk.  Labels are not empty, so the host ends
+    before two dots, and the last label has two letters or more.
+    """
+    host = f"substring_index(substring_index({match}, '@', -1), '..', 1)"
+    exact = f"regexp_extract({host}, {lit(r'^[A-Za-z0-9-][A-Za-z0-9.-]*[.][A-Za-z]{2,}')}, 0)"
+    return (
+        f"transform(filter(array({exact}), host -> host <> ''), host -> "
+        f"struct(0 as at, concat(substring_index({match}, '@', 1), '@', host) as text))"
     )
-    return HeadedPattern(f"[{initials}]", f"(?:{words}){tail}")
+
+
+def _whole_ibans(match: str) -> str:
+    """The account numbers in a candidate: from each group that may open one, the longest end on the border
+    of a group that passes the checksum.
+
+    A candidate runs on over following groups, which may be words in capitals or the next number.
+    """
+    valid = f"n -> char_length(n) >= 14 and {checksums.iban_mod97('n')}"
+
+    def in_groups(g: str) -> str:
+        ends = f"reverse(sequence(3, least(9, size({g}) - i)))"
+        longest = f"get(filter(transform({ends}, k -> array_join(slice({g}, i + 1, k), ' ')), {valid}), 0)"
+        starts = f"filter(sequence(0, size({g}) - 3), i -> rlike({g}[i], '^[A-Z]{{2}}[0-9]{{2}}$'))"
+        at = prefixes(f"transform({g}, w -> char_length(w) + 1)")
+        hits = let("places", at, lambda p: f"transform({starts}, i -> struct({p}[i] as at, {longest} as text))")
+        return (
+            f"if(size({g}) < 3, transform(filter({g}, {valid}), n -> struct(0 as at, n as text)), "
+            f"filter({hits}, x -> x.text is not null))"
+        )
+
+    return let("groups", f"split({match}, ' ')", in_groups)
 
 
 _FIRST_OCTET = r"(?:(?<=2)(?:5[0-5]|[0-4][0-9])|(?<=1)[0-9]{2}|(?<=[1-9])[0-9])?"
@@ -185,9 +242,9 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
         rec("US_BANK_NUMBER", digit, rf"[0-9]{{7,16}}{_E}", 0.1, gate="digit", languages=en,
             context_words=("account", "acct", "bank", "check", "debit", "save")),
         rec("IBAN_CODE",
-            upper, rf"[A-Z][0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}"
+            upper, rf"[A-Z][0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,}}"
             rf"(?: [A-Z0-9]{{1,3}})?){_E}",
-            1.0, check=checksums.iban_mod97, gate="digit"),
+            1.0, refine=_whole_ibans, gate="digit"),
         rec("CRYPTO", "[13b]", rf"(?:(?<=[13])[1-9A-HJ-NP-Za-km-z]{{25,34}}"
             rf"|(?<=b)c1[02-9ac-hj-np-z]{{11,71}}){_E}",
             0.5, gate="digit"),
@@ -198,8 +255,8 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
         rec("MEDICAL_LICENSE", upper, rf"[A-Z][0-9]{{7}}{_E}", 1.0,
             check=checksums.dea_check, gate="digit", languages=en),
         rec("EMAIL_ADDRESS",
-            _MAILBOX, rf"{_MAILBOX}*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}",
-            1.0, _MAILBOX, gate="at"),
+            _MAILBOX, rf"{_MAILBOX}*@[A-Za-z0-9-][A-Za-z0-9.-]*",
+            1.0, _MAILBOX, refine=_whole_address, gate="at"),
         rec("PHONE_NUMBER",
             f"[+({_chars('0-9')}]", rf"(?:(?<=\+)(?:[0-9]{{1,3}}[ .-]?(?:\([0-9]{{3}}\) ?"
             rf"|(?<!{_W})[0-9]{{3}}[ .-]){_LOCAL_PHONE}|[0-9]{{8,15}})"
@@ -250,8 +307,8 @@ class RecognizerRegistry:
         listed = tuple(patterns)
         for p in listed:
             try:
-                empty = re.match(p, "") is not None
-            except re.error:  # valid in Java only: cannot be tried here
+                empty = any(not m.group() for m in re.finditer(p, "ab cd-1\n@.")) or re.match(p, "")
+            except re.error:  # valid in Java only: cannot be tried here, empty matches are dropped
                 empty = False
             if not p or empty:
                 raise ValueError(f"pattern {p!r} matches the empty string")

@@ -6,12 +6,16 @@ partitions they name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.sqltext import lit
 from veilframe.operators.policy import GovernancePolicy
-from veilframe.plans.protect import AUDIT_DDL, audit_id_sql, now_iso
+from veilframe.plans.protect import AUDIT_DDL, audit_id_sql, now_iso, utc_timestamp
 
 
 def audit_rows(governed: DataFrame) -> DataFrame:
@@ -25,8 +29,8 @@ def policy_change_row(
     """The record of a policy replacement: always RESTRICTED, with the previous name and version."""
     ts = batch_ts or now_iso()
     values = {
-        "audit_id": audit_id_sql("policy_change", (), new, f"{ts}|{old.name}|{old.version}"),
-        "ts": f"timestamp {lit(ts)}",
+        "audit_id": audit_id_sql("policy_change", (), new, lit(f"{ts}|{old.name}|{old.version}")),
+        "ts": utc_timestamp(ts),
         "action": "'policy_change'",
         "classification": "'RESTRICTED'",
         "entities_found": "0",
@@ -56,6 +60,34 @@ def set_policy(
     return new, policy_change_row(spark, old, new, batch_ts)
 
 
+HISTORY_DDL = "batch_id bigint, ts timestamp, name string, version string, config string"
+
+
+def policy_history_row(spark: SparkSession, policy: GovernancePolicy, batch_id: int, batch_ts: str) -> DataFrame:
+    """The policy in force in a batch, whole, as one row of the history table."""
+    row = spark.createDataFrame(
+        [(batch_id, policy.name, policy.version, json.dumps(policy.as_dict()))],
+        "batch_id bigint, name string, version string, config string")
+    return row.select("batch_id", F.expr(utc_timestamp(batch_ts)).alias("ts"), "name", "version", "config")
+
+
+def policies_until(spark: SparkSession, path: str, batch_id: int) -> list[tuple[int, GovernancePolicy]]:
+    """The policies of ``batch_id`` and of the last batch before it, as far as the history has them."""
+    try:
+        history = spark.read.schema(HISTORY_DDL).option("recursiveFileLookup", "true").parquet(path)
+        rows = history.where(F.col("batch_id") <= batch_id).orderBy(F.desc("batch_id")).limit(2).collect()
+    except AnalysisException as problem:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return []
+    return [(r["batch_id"], GovernancePolicy.from_dict(json.loads(r["config"]))) for r in rows]
+
+
+def utc_date(ts: Column) -> Column:
+    """The day of a timestamp in UTC: writers and readers in different zones name the same partition."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def export_columns(audit: DataFrame) -> DataFrame:
     """The exported fields: all but the rewritten text."""
     return audit.drop("anonymized_text").withColumnRenamed("ts", "timestamp")
@@ -71,7 +103,7 @@ def filter_audit(
     if since:
         audit = audit.where(F.col("ts") >= F.lit(since).cast("timestamp"))
         if "date" in audit.columns:
-            audit = audit.where(F.col("date") >= F.lit(since).cast("timestamp").cast("date"))
+            audit = audit.where(F.col("date") >= utc_date(F.lit(since).cast("timestamp")))
     if action_type:
         audit = audit.where(F.col("action") == action_type)
     if classification:
@@ -110,14 +142,35 @@ def audit_totals(audit: DataFrame, limit: int = 50, **filters: str | None) -> Da
     )
 
 
-def retain_newest(audit: DataFrame, max_records: int = 10_000) -> DataFrame:
-    """Bounded retention: the newest ``max_records`` records."""
-    return newest(audit, max_records)
+def retain_newest(audit: DataFrame, max_records: int = 10_000, within_task: int = 100_000) -> DataFrame:
+    """Bounded retention: the newest ``max_records`` records.
+
+    Up to ``within_task`` records this is a top-k.  More are kept by a cut in time: records are counted
+    per second, the counts (no rows) are summed from the newest second on, and only the second in
+    which the number is reached is ordered.
+    """
+    if max_records <= within_task:
+        return newest(audit, max_records)
+    second = F.date_trunc("second", "ts")
+    counts = audit.groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    hours = counts.groupBy(F.date_trunc("hour", "second").alias("hour")).agg(F.sum("n").alias("n"))
+    by_hour = hours.withColumn("newer", F.sum("n").over(Window.orderBy(F.desc("hour")))).where(F.col("newer") >= max_records)
+    edge = by_hour.orderBy(F.desc("hour")).first()
+    if edge is None:
+        return audit
+    left = max_records - (edge["newer"] - edge["n"])
+    inside = counts.where(F.date_trunc("hour", "second") == F.lit(edge["hour"])).orderBy(F.desc("second")).collect()
+    for row in inside:  # at most 3,600 seconds
+        if row["n"] >= left:
+            break
+        left -= row["n"]
+    cut = F.lit(row["second"])
+    return audit.where(second > cut).unionByName(newest(audit.where(second == cut), left))
 
 
 def write_audit(audit: DataFrame, path: str) -> None:
     """Append to the audit table at ``path``."""
-    dated = audit.withColumn("date", F.to_date("ts"))
+    dated = audit.withColumn("date", utc_date(F.col("ts")))
     dated.write.mode("append").partitionBy("date", "action").parquet(path)
 
 

@@ -94,16 +94,32 @@ def type_counts(spanned: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dashboard(
     df: DataFrame, text_col: str, group_col: str, *, totals: bool = True, **settings: Any
 ) -> DataFrame:
-    """Entities and affected rows per ``group_col`` and entity type; NULL marks a total."""
-    counts = type_counts(with_spans(df, text_col, **settings), [group_col])
-    grouped = (
-        counts.rollup(group_col, "entity_type") if totals else counts.groupBy(group_col, "entity_type")
-    )
-    # Totals over types would count a row once per type, so the row count is kept per type only.
-    rows = F.count(F.lit(1))
+    """Entities and affected rows per ``group_col`` and entity type.
+
+    ``totals`` adds the totals of each group and of all: ``level`` is 0 for a group and type, 1 for
+    a group, 2 for all, so a group that is NULL is not taken for a total.  ``level`` 3 counts per group
+    the texts that a size limit kept from being read (``rows_affected``).
+    """
+    spanned = with_spans(df, text_col, **settings)
+    spanned = spanned.select(F.col(group_col).alias("_group"), "spans", "error")
+    per_type = type_counts(spanned, ["_group"]).withColumn("level", F.lit(0))
+    grouped = _summed(per_type)
     if totals:
-        rows = F.when(F.grouping("entity_type") == 0, rows)
-    return grouped.agg(F.sum("n").alias("entities"), rows.alias("rows_affected"))
+        # One record per row and total, so that a row counts once whatever types it holds.
+        hit = spanned.where("size(spans) > 0").select(
+            F.explode(F.array(F.lit(1), F.lit(2))).alias("level"), "_group", F.expr("size(spans)").alias("n"))
+        grouped = grouped.unionByName(_summed(hit.select(
+            F.when(F.col("level") == 1, F.col("_group")).alias("_group"), F.lit(None).cast("string").alias("entity_type"), "n", "level")))
+    refused = spanned.where("error is not null").select(
+        "_group", F.lit(None).cast("string").alias("entity_type"), F.lit(0).alias("n"), F.lit(3).alias("level"))
+    if settings.get("max_chars"):
+        grouped = grouped.unionByName(_summed(refused))
+    return grouped.withColumnRenamed("_group", group_col)
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("_group", "entity_type", "level").agg(
+        F.sum("n").alias("entities"), F.count(F.lit(1)).alias("rows_affected"))
 
 
 def classification_counts(governed: DataFrame, group_col: str) -> DataFrame:
@@ -125,10 +141,16 @@ def labelled_slices(
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, **settings: Any) -> DataFrame:
-    """Which string columns of a table hold which entity types: values affected and spans."""
+    """Which string columns of a table hold which entity types: values affected and spans.
+
+    With ``max_chars``, values over the limit are counted under the entity type NULL."""
     texts = list(columns or [f.name for f in df.schema if f.dataType.simpleString() == "string"])
     values = df.select(*texts).unpivot([], texts, "column_name", "value").where("value is not null")
-    counts = type_counts(with_spans(values, "value", **settings), ["column_name"])
+    spanned = with_spans(values, "value", **settings)
+    counts = type_counts(spanned, ["column_name"])
+    if settings.get("max_chars"):
+        counts = counts.unionByName(spanned.where("error is not null").select(
+            "column_name", F.lit(None).cast("string").alias("entity_type"), F.lit(0).alias("n")))
     return counts.groupBy("column_name", "entity_type").agg(
         F.count(F.lit(1)).alias("values_affected"), F.sum("n").alias("entities")
     )

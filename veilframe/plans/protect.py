@@ -6,7 +6,9 @@ computed once per row in a projection of their own, and everything else is deriv
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
@@ -36,15 +38,68 @@ def now_iso() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S.%f")
 
 
+def utc_timestamp(ts: str) -> str:
+    """A timestamp literal; a text without a zone is meant in UTC, whatever the session's zone."""
+    zoned = ts if re.search(r"(Z|UTC|[+-][0-9]{2}:?[0-9]{2})$", ts) else f"{ts}+00:00"
+    return f"timestamp {lit(zoned)}"
+
+
+@dataclass(frozen=True)
+class AuditTime:
+    """When a record was made: one time for all rows of a batch, or a time per row."""
+
+    sql: str  # a timestamp
+    text: str  # the same as text, for the record's id
+
+    @classmethod
+    def of(cls, df: DataFrame, batch_ts: str | None, ts_col: str | None) -> AuditTime:
+        """``ts_col`` names an event-time column.  Without it a batch has the time given or that of the
+        call, and a stream that of each micro-batch, which a retried micro-batch repeats."""
+        if ts_col is not None:
+            return cls(f"cast({ident(ts_col)} as timestamp)", f"coalesce(cast(unix_micros(cast({ident(ts_col)} as timestamp)) as string), '')")
+        if batch_ts is None and df.isStreaming:
+            return cls("current_timestamp()", "cast(unix_micros(current_timestamp()) as string)")
+        ts = batch_ts or now_iso()
+        return cls(utc_timestamp(ts), lit(ts))
+
+
+def record_key_sql(id_cols: Sequence[str]) -> str:
+    """The row's key as one text that no other key shares: NULL and separators inside are told apart."""
+    if len(id_cols) == 1:
+        return f"coalesce(cast({ident(id_cols[0])} as string), '')"
+    values = ", ".join(f"cast({ident(c)} as string)" for c in id_cols)
+    return f"to_json(array({values}))" if id_cols else "''"
+
+
 def audit_id_sql(action: str, id_cols: Sequence[str], policy: GovernancePolicy, ts: str) -> str:
-    """Twelve hex digits from what makes the record unique, so a retried task repeats them."""
-    keys = ", ".join(f"cast({ident(c)} as string)" for c in id_cols) or "''"
+    """Twelve hex digits from what makes the record unique, so a retried task repeats them.
+
+    At many billions of records short ids do meet; ``metadata['record_key']`` holds the key itself.
+    """
     return (
-        f"substring(sha2(concat_ws('|', {lit(action)}, {keys}, {lit(policy.name)}, "
-        f"{lit(policy.version)}, {lit(ts)}), 256), 1, 12)"
+        f"substring(sha2(concat_ws('|', {lit(action)}, {record_key_sql(id_cols)}, {lit(policy.name)}, "
+        f"{lit(policy.version)}, {ts}), 256), 1, 12)"
     )
 
 
+#: Names the calls use for what they work out.
+_OWN = frozenset({
+    "spans", "error", "entity_types", "entities_found", "audit_id", "classification", "audit",
+    "operators_applied", "_rewritten", "_scores",
+})
+
+
+def _checked(df: DataFrame, text_col: str, id_cols: Sequence[str], results: Sequence[str], with_audit: bool) -> list[str]:
+    """The columns to hand through; refuses input columns that a result would hide."""
+    keep = [c for c in df.columns if c != text_col]
+    taken = sorted({c for c in df.columns if c in _OWN or c in results or c.startswith("_detector_")})
+    if taken:
+        raise ValueError(f"the input has columns named like results: {', '.join(taken)}; rename them first")
+    if with_audit and not id_cols:
+        raise ValueError("audit records need id_cols, the columns that tell one row from another")
+    return keep
+
+
 def with_spans(
     df: DataFrame,
     text_col: str = "text",
@@ -79,13 +134,14 @@ def with_spans(
 
 
 def _with_audit(
-    df: DataFrame, action: str, policy: GovernancePolicy, ts: str, changed: bool, text_col: str
+    df: DataFrame, action: str, policy: GovernancePolicy, ts: AuditTime, changed: bool, text_col: str,
+    id_cols: Sequence[str],
 ) -> DataFrame:
     """Add the ``audit`` struct; NULL where the text was refused or auditing is off."""
     keep_text = changed and policy.audit.log_anonymized_text
     values = {
         "audit_id": "audit_id",
-        "ts": f"timestamp {lit(ts)}",
+        "ts": ts.sql,
         "action": lit(action),
         "classification": "classification",
         "entities_found": "entities_found",
@@ -96,7 +152,7 @@ def _with_audit(
         "policy_version": lit(policy.version),
         "text_length": f"coalesce(char_length({ident(text_col)}), 0)",
         "anonymized_text": "_rewritten" if keep_text else "null",
-        "metadata": "map()",
+        "metadata": f"map('record_key', {record_key_sql(id_cols)})",
     }
     fields = ", ".join(f"{sql} as {name}" for name, sql in values.items())
     record = f"cast(struct({fields}) as struct<{_struct_fields()}>)"
@@ -110,7 +166,7 @@ def _struct_fields() -> str:
 
 def _base(
     df: DataFrame, action: str, text_col: str, id_cols: Sequence[str], policy: GovernancePolicy,
-    ts: str, settings: Mapping[str, Any],
+    ts: AuditTime, settings: Mapping[str, Any],
 ) -> DataFrame:
     """Spans and the facts every call needs."""
     df = with_spans(df, text_col, **settings)
@@ -118,7 +174,7 @@ def _base(
         "entity_types": F.expr(sp.entity_types("spans")),
         "entities_found": F.expr("size(spans)"),
         "audit_id": F.expr(
-            f"if(error is null, {audit_id_sql(action, id_cols, policy, ts)}, null)"
+            f"if(error is null, {audit_id_sql(action, id_cols, policy, ts.text)}, null)"
         ),
     })
     return df.withColumn("classification", F.expr(cls.classification("entity_types", policy)))
@@ -159,6 +215,7 @@ def analyze(
     *,
     policy: GovernancePolicy | None = None,
     batch_ts: str | None = None,
+    ts_col: str | None = None,
     with_audit: bool = False,
     **settings: Any,
 ) -> DataFrame:
@@ -166,11 +223,11 @@ def analyze(
 
     ``settings`` are those of ``with_spans``; the score threshold is 0.4 unless given.
     """
-    policy, ts = policy or GovernancePolicy(), batch_ts or now_iso()
-    keep = [c for c in df.columns if c != text_col]
+    policy, ts = policy or GovernancePolicy(), AuditTime.of(df, batch_ts, ts_col)
+    keep = _checked(df, text_col, id_cols, ("results", "analysis_id"), with_audit)
     out = _base(df, "analyze", text_col, id_cols, policy, ts, settings)
     if with_audit:
-        out = _with_audit(out, "analyze", policy, ts, False, text_col)
+        out = _with_audit(out, "analyze", policy, ts, False, text_col, id_cols)
     return out.select(
         *keep, "entities_found", F.expr(sp.without_values("spans")).alias("results"),
         F.col("audit_id").alias("analysis_id"), "error", *(["audit"] if with_audit else []),
@@ -185,6 +242,7 @@ def anonymize(
     policy: GovernancePolicy | None = None,
     operators: Mapping[str, Mapping[str, Any]] | None = None,
     batch_ts: str | None = None,
+    ts_col: str | None = None,
     with_audit: bool = False,
     **settings: Any,
 ) -> DataFrame:
@@ -192,13 +250,13 @@ def anonymize(
 
     ``operators`` overrides the policy per entity type: ``{"EMAIL_ADDRESS": {"type": "mask", ...}}``.
     """
-    policy, ts = policy or GovernancePolicy(), batch_ts or now_iso()
-    keep = [c for c in df.columns if c != text_col]
+    policy, ts = policy or GovernancePolicy(), AuditTime.of(df, batch_ts, ts_col)
+    keep = _checked(df, text_col, id_cols, ("anonymized_text", "entities_anonymized", "analysis_id"), with_audit)
     used = {"score_threshold": policy.detection.score_threshold, **settings}
     out = _base(df, "anonymize", text_col, id_cols, policy, ts, used)
     out = _rewrite(out, text_col, policy, _types_in(settings.get("registry")), operators)
     if with_audit:
-        out = _with_audit(out, "anonymize", policy, ts, True, text_col)
+        out = _with_audit(out, "anonymize", policy, ts, True, text_col, id_cols)
     return out.select(
         *keep, F.col("_rewritten").alias("anonymized_text"), "entities_found",
         F.col("entities_found").alias("entities_anonymized"), "operators_applied",
@@ -213,15 +271,16 @@ def classify(
     *,
     policy: GovernancePolicy | None = None,
     batch_ts: str | None = None,
+    ts_col: str | None = None,
     with_audit: bool = False,
     **settings: Any,
 ) -> DataFrame:
     """Classify: level, ``confidence``, ``reason``, ``entity_summary``, ``policy_applied``."""
-    policy, ts = policy or GovernancePolicy(), batch_ts or now_iso()
-    keep = [c for c in df.columns if c != text_col]
+    policy, ts = policy or GovernancePolicy(), AuditTime.of(df, batch_ts, ts_col)
+    keep = _checked(df, text_col, id_cols, ("confidence", "reason", "entity_summary", "policy_applied", "analysis_id"), with_audit)
     out = _base(df, "classify", text_col, id_cols, policy, ts, _policy_settings(policy, settings))
     if with_audit:
-        out = _with_audit(out, "classify", policy, ts, False, text_col)
+        out = _with_audit(out, "classify", policy, ts, False, text_col, id_cols)
     out = classified_columns(
         out.withColumn("_scores", F.expr("transform(spans, s -> s.score)")), policy, "_scores"
     )
@@ -253,18 +312,19 @@ def scan_and_protect(
     policy: GovernancePolicy | None = None,
     return_original: bool = False,
     batch_ts: str | None = None,
+    ts_col: str | None = None,
     with_audit: bool = False,
     with_spans_col: bool = False,
     **settings: Any,
 ) -> DataFrame:
     """Detect, classify, rewrite and evaluate alerts in one pass over the text."""
-    policy, ts = policy or GovernancePolicy(), batch_ts or now_iso()
-    keep = [c for c in df.columns if c != text_col]
+    policy, ts = policy or GovernancePolicy(), AuditTime.of(df, batch_ts, ts_col)
+    keep = _checked(df, text_col, id_cols, ("protected_text", "entities_anonymized", "policy_applied", "alerts_triggered", "original_text"), with_audit)
     action = "scan_and_protect"
     out = _base(df, action, text_col, id_cols, policy, ts, _policy_settings(policy, settings))
     out = _rewrite(out, text_col, policy, _types_in(settings.get("registry")), None)
     if with_audit:
-        out = _with_audit(out, action, policy, ts, True, text_col)
+        out = _with_audit(out, action, policy, ts, True, text_col, id_cols)
     rules = alerts.alerts_sql(policy.alerts, "classification", "entities_found")
     original = [F.col(text_col).alias("original_text")] if return_original else []
     return out.select(

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.plans.audit import export_columns
-from veilframe.session import shared_folder
+from veilframe.session import remove_folder, shared_folder
 
 log = logging.getLogger(__name__)
-DEFAULT_AUDIT_PATH = "./audit/audit.jsonl"
 
 
 class Sink(Protocol):
@@ -25,7 +24,7 @@ class Sink(Protocol):
 class JsonLinesSink:
     """Appends one JSON object per record under ``path``."""
 
-    def __init__(self, path: str = DEFAULT_AUDIT_PATH) -> None:
+    def __init__(self, path: str) -> None:
         self.path = path
 
     def write(self, audit: DataFrame) -> None:
@@ -44,13 +43,14 @@ def console_columns(audit: DataFrame) -> DataFrame:
 
 
 class ConsoleSink:
-    """Prints a page of records; the page size is the feature, not a cap on the data."""
+    """Prints every record as one line; the driver holds one partition of short records at a time."""
 
-    def __init__(self, level: str = "INFO", page: int = 20) -> None:
-        self.level, self.page = level.upper(), page
+    def __init__(self, level: str = "INFO") -> None:
+        self.level = level.upper()
 
     def write(self, audit: DataFrame) -> None:
-        console_columns(audit).show(self.page, truncate=False)
+        for row in console_columns(audit).toLocalIterator():
+            print(self.level, *(f"{k}={v}" for k, v in row.asDict().items()))
 
 
 def outbox_rows(governed: DataFrame, id_cols: Iterable[str]) -> DataFrame:
@@ -67,14 +67,18 @@ def outbox_rows(governed: DataFrame, id_cols: Iterable[str]) -> DataFrame:
 
 
 class OutboxSink:
-    """Appends records addressed to ``url`` to a table partitioned by address."""
+    """Appends records addressed to ``url`` to a table partitioned by a digest of the address.
+
+    An address may hold a token, so it is a column of the files and no part of their names.
+    """
 
     def __init__(self, url: str, path: str) -> None:
         self.url, self.path = url, path
 
     def write(self, audit: DataFrame) -> None:
         rows = export_columns(audit).withColumn("webhook_url", F.lit(self.url))
-        rows.write.mode("append").partitionBy("webhook_url").parquet(self.path)
+        named = rows.withColumn("target", F.substring(F.sha2("webhook_url", 256), 1, 16))
+        named.write.mode("append").partitionBy("target").parquet(self.path)
 
 
 def sinks_from_policy(configs: Iterable[Mapping[str, Any]]) -> list[Sink]:
@@ -83,7 +87,7 @@ def sinks_from_policy(configs: Iterable[Mapping[str, Any]]) -> list[Sink]:
     for config in configs:
         kind = config.get("type", "stdout")
         if kind == "file":
-            sinks.append(JsonLinesSink(config.get("path", DEFAULT_AUDIT_PATH)))
+            sinks.append(JsonLinesSink(config["path"]))
         elif kind == "stdout":
             sinks.append(ConsoleSink(config.get("level", "INFO")))
         elif kind == "outbox":
@@ -96,7 +100,7 @@ def fan_out(audit: DataFrame, sinks: Iterable[Sink], staging: str | None = None)
 
     The rows are written once to a staging table and every sink reads that, so the texts are
     scanned once however many sinks there are and whichever executors are lost meanwhile.
-    Returns the class names of the sinks that failed.
+    Returns the class names of the sinks that failed.  The staging table is removed at the end.
     """
     spark = audit.sparkSession
     folder = staging or shared_folder(spark, "audit-staging")
@@ -109,4 +113,5 @@ def fan_out(audit: DataFrame, sinks: Iterable[Sink], staging: str | None = None)
         except Exception:
             log.exception("audit sink failed: %s", type(sink).__name__)
             failed.append(type(sink).__name__)
+    remove_folder(spark, folder)
     return failed

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from veilframe.operators.policy import GovernancePolicy
-from veilframe.plans.audit import policy_change_row
+from veilframe.plans.audit import policies_until, policy_change_row, policy_history_row
 from veilframe.plans.protect import scan_and_protect
 
 
@@ -24,7 +24,11 @@ def read_stream(
 def protect_stream(
     stream: DataFrame, text_col: str, id_cols: Sequence[str], **settings: Any
 ) -> DataFrame:
-    """Stateless protection: the batch transform, row by row."""
+    """Stateless protection: the batch transform, row by row.
+
+    Audit records carry the time of their micro-batch, or of ``ts_col`` where given, never that of
+    the query's start.
+    """
     return scan_and_protect(stream, text_col, id_cols, **settings)
 
 
@@ -104,20 +108,30 @@ def hot_swap(
     audit_path: str,
     batch_ts: Callable[[int], str],
     initial: GovernancePolicy | None = None,
+    history_path: str | None = None,
     **settings: Any,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that reloads the policy for every micro-batch.
 
     When it differs from that of the previous batch, a ``policy_change`` row is written first.  All
-    output of a batch lies in folders of its own, so a retried batch overwrites itself.  ``initial``
-    is the policy in force before the first batch of this run, for a query that is restarted.
+    output of a batch lies in folders of its own, so a retried batch overwrites itself.  With
+    ``history_path`` the policy of every batch is kept there: a retried batch uses the policy of its
+    first try and a restarted query knows the one before.  Without it, ``initial`` is the policy in force
+    before the first batch of this run.
     """
     state = {"policy": initial} if initial else {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        policy, ts = load(), batch_ts(batch_id)
-        previous = state.get("policy", policy)
+        ts = batch_ts(batch_id)
+        if history_path:
+            known = {b: p for b, p in policies_until(spark, history_path, batch_id)}
+            policy = known.pop(batch_id, None) or load()
+            previous = known[max(known)] if known else (initial or policy)
+            policy_history_row(spark, policy, batch_id, ts).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        else:
+            policy = load()
+            previous = state.get("policy", policy)
         if policy != previous:
             change = policy_change_row(spark, previous, policy, ts)
             change.write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
