@@ -23,7 +23,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     sees the same rows in the same files even after executors were lost."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,5 +80,5 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
             f"{purpose}-edges")
     else:
         raise RuntimeError("the components did not settle")
-    least = names.groupBy("at").agg(F.min("node").alias("component"))
+    least = written(names.groupBy("at").agg(F.min("node").alias("component")), f"{purpose}-least")
     return written(names.join(least, "at").select("node", "component"), purpose)

@@ -12,6 +12,7 @@ and decodes the chunks.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import written
+from veilframe.llm.common import bounded_broadcast, written
 from veilframe.session import shared_folder
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 65536, 8192, 1000
@@ -63,10 +64,11 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
         .withColumn("digest", base32_sha1(F.col("payload"))), "warc-rows")
     named = rows.select("row", "digest", F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("key"),
                         F.length("payload").alias("size"))
-    firsts = named.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"))
+    # Written, so that the join below has plain exchanges on both sides, which Spark can split where a key is hot.
+    firsts = written(named.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first")), "warc-firsts")
     decided = named.where(F.col("size") >= least_bytes).join(firsts, "digest").where("first.row <> row").select(
         "row", record_name(F.col("first.id"), F.col("first.row")).alias("first"))
-    return rows.join(decided, "row", "left")
+    return rows.join(bounded_broadcast(written(decided, "warc-revisits")), "row", "left")
 
 
 def record_name(key: Column, row: Column) -> Column:
@@ -76,7 +78,7 @@ def record_name(key: Column, row: Column) -> Column:
 
 def write_archives(planned: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
                    chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write WARC 1.1 files under ``path`` from what :func:`plan_records` returns."""
+    """Write gzipped WARC 1.1 files under ``path`` from what :func:`plan_records` returns."""
     head = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}").cast("binary")
     name = record_name(F.col("id"), F.col("row"))
     blocks = planned.select(
@@ -107,11 +109,11 @@ def write_archives(planned: DataFrame, path: str, segment_bytes: int = SEGMENT_B
         line("Content-Length", F.length("piece")), F.lit(CRLF))
     # The writer ends each value with the second of the two line ends that close a record.
     parts.select(F.concat(header, F.col("piece").cast("string"), F.lit(CRLF)).alias("value")).write.option(
-        "lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+        "lineSep", CRLF).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files under ``path``.  A file that breaks off or holds no record head gives what
+    """The records of all files, gzipped or not, under ``path``.  A file that breaks off or holds no record head gives what
     stands before the fault and one row with ``error``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(_parse_files, RECORD_SCHEMA)
@@ -120,7 +122,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            yield pd.DataFrame(list(parse_records(path, bytes(content))), columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
+            data = bytes(content)
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            yield pd.DataFrame(list(parse_records(path, data)), columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
 
 
 _BREAK = re.compile(rb"\r?\n\r?\n")
