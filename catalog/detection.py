@@ -346,6 +346,29 @@ UNION ALL
 SELECT id, 8 + length(name) + 13, 8 + length(name) + 13 + length(name), 'PERSON', 0.6, name FROM m""")
 
 
+def c11_protected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from a table, rewritten and classified by the same call as patterns."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_name as term", "'PERSON' as entity_type")
+    texts = _customer_texts(spark, sf_dir)
+    out = protect.scan_and_protect(texts, "text", ["id"], spans=term_spans(texts, "text", ["id"], names))
+    return out.selectExpr("id", "protected_text", "classification", "cast(entities_found as bigint) as entities_found")
+
+
+ENTRIES["c11_protected_terms"] = (c11_protected_terms, """
+WITH t AS (SELECT o_orderkey AS id, 'Customer#' || lpad(cast(o_custkey * 2 AS string), 9, '0') AS name
+           FROM orders),
+m AS (SELECT id, name, name IN (SELECT c_name FROM customer) AS listed FROM t)
+SELECT id, 'Bill of ' || CASE WHEN listed THEN '[PERSON]' ELSE name END || ', shipped by '
+    || CASE WHEN listed THEN '[PERSON]' ELSE name END || '!' AS protected_text,
+  CASE WHEN listed THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS classification,
+  cast(CASE WHEN listed THEN 2 ELSE 0 END AS bigint) AS entities_found
+FROM m""")
+
+
+# Order, line and part alone do not tell all rows of `lineitem` apart.
+_ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
 def c14_term_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word terms from `part` in texts derived from `lineitem`; longer terms win."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -353,14 +376,14 @@ def c14_term_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.selectExpr("split(p_name, ' ')[1] as term", "'KIND' as entity_type")
     )
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey"
+        *_ITEM_KEY
     )
     texts = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey",
+        *_ITEM_KEY,
         "'Sent ' || p_name || ' and a ' || split(p_name, ' ')[1] || '.' as text",
     )
     spans = term_spans(
-        texts, "text", ["l_orderkey", "l_linenumber", "l_partkey"], terms, capitalised=False
+        texts, "text", _ITEM_KEY, terms, capitalised=False
     )
     return spans.groupBy("entity_type", F.col("text").alias("found")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("start").alias("start_sum")
@@ -370,8 +393,7 @@ def c14_term_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES["c14_term_phrases"] = (c14_term_phrases, """
 WITH x AS (SELECT p_name, split_part(p_name, ' ', 2) AS kind,
              l_orderkey, l_linenumber, l_partkey
-           FROM lineitem JOIN part ON p_partkey = l_partkey
-           GROUP BY ALL),
+           FROM lineitem JOIN part ON p_partkey = l_partkey),
 y AS (SELECT 'PRODUCT' AS entity_type, p_name AS found, 5 AS start_pos FROM x
       UNION ALL SELECT 'KIND', kind, 5 + length(p_name) + 7 FROM x)
 SELECT entity_type, found, count(*) AS n, cast(sum(start_pos) AS bigint) AS start_sum FROM y
@@ -415,13 +437,30 @@ ENTRIES["k3_chunked_detection"] = (
 
 def k3_collected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    spans = collect_spans(detect_long(docs, "text", ["doc_id"], section_chars=2000, spread=8), ["doc_id"])
+    spans = collect_spans(detect_long(docs, "text", ["doc_id"], section_chars=2000, spread=8), ["doc_id"], docs)
     return _per_text(spans, "doc_id")
 
 
-ENTRIES["k3_collected_spans"] = (k3_collected_spans, f"""
-SELECT id AS doc_id, count(*) AS n, string_agg(v, '|' ORDER BY v) AS found
-FROM ({duck.spans(duck.DOCS)}) GROUP BY id""")
+ENTRIES["k3_collected_spans"] = (k3_collected_spans, duck.per_text(
+    duck.DOCS, duck.spans(duck.DOCS), f"{DUCK_N}, {DUCK_FOUND}",
+).replace("SELECT t.id,", "SELECT t.id AS doc_id,", 1))
+
+
+def k3_protected_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten from spans that were found section by section."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = detect_long(docs, "text", ["doc_id"], section_chars=1000)
+    out = protect.scan_and_protect(docs, "text", ["doc_id"], spans=spans, registry=RecognizerRegistry(()))
+    return out.selectExpr("doc_id", "protected_text", "classification", "cast(entities_found as bigint) as entities_found")
+
+
+ENTRIES["k3_protected_long_texts"] = (k3_protected_long_texts, f"""
+WITH sp AS MATERIALIZED ({duck.spans(duck.DOCS)}),
+r AS ({duck.rewritten(duck.DOCS, 'SELECT * FROM sp', duck.default_replacement())}),
+x AS ({duck.per_text(duck.DOCS, 'SELECT * FROM sp',
+    duck.classification() + ' AS classification, count(sp.id) AS entities_found')})
+SELECT x.id AS doc_id, new_text AS protected_text, classification, entities_found
+FROM x JOIN r ON r.id = x.id""")
 
 # --- extension points ---------------------------------------------------------------------------
 

@@ -134,7 +134,7 @@ def test_bad_recognizers():
     with pytest.raises(ValueError):
         Recognizer("x", "X", ("a",), 0.5, gate="nope")
     with pytest.raises(ValueError):
-        term_pattern([f"Term{i}" for i in range(2000)])
+        term_pattern([])
 
 
 def test_size_limit(spark):

@@ -22,6 +22,7 @@ from veilframe.operators import alerts, anonymize as anon, classify as cls
 from veilframe.operators.detect import spans_sql
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.operators.recognizers import RecognizerRegistry
+from veilframe.plans.span_tables import collect_spans
 
 # A caller's own detector: text column in, span-array column out.
 Detector = Callable[[Column], Column]
@@ -111,16 +112,29 @@ def with_spans(
     score_threshold: float = 0.4,
     max_chars: int = DEFAULT_MAX_CHARS,
     detectors: Sequence[Detector] = (),
+    spans: DataFrame | None = None,
+    id_cols: Sequence[str] = (),
     gated: bool = True,
     resolve: bool = True,
 ) -> DataFrame:
-    """Add ``error`` (text over the size limit) and ``spans`` (NULL where there is an error)."""
+    """Add ``error`` (text over the size limit) and ``spans`` (NULL where there is an error).
+
+    ``spans`` is a table of spans found elsewhere (a term list, long texts section by section), joined by
+    ``id_cols``, which must identify a text; its spans are settled together with those found here.  With
+    ``registry=RecognizerRegistry(())`` they are the only ones.  Rows whose key is NULL get none.
+    """
     text = ident(text_col)
     fits = f"char_length({text}) <= {max_chars}" if max_chars > 0 else "true"
     names = []
     for i, detector in enumerate(detectors):
         names.append(f"_detector_{i}")
         df = df.withColumn(names[-1], detector(F.expr(f"if({fits}, {text}, null)")))
+    if spans is not None:
+        if not id_cols:
+            raise ValueError("a span table needs id_cols, the columns that identify a text")
+        names.append("_detector_table")
+        table = collect_spans(spans, id_cols).withColumnRenamed("spans", names[-1])
+        df = df.join(table, list(id_cols), "left")
     found = spans_sql(
         text, registry, entities=entities, language=language, language_col=language_col,
         score_threshold=score_threshold, gated=gated, resolve=resolve, extra_span_cols=names,
@@ -169,7 +183,7 @@ def _base(
     ts: AuditTime, settings: Mapping[str, Any],
 ) -> DataFrame:
     """Spans and the facts every call needs."""
-    df = with_spans(df, text_col, **settings)
+    df = with_spans(df, text_col, id_cols=id_cols, **settings)
     df = df.withColumns({
         "entity_types": F.expr(sp.entity_types("spans")),
         "entities_found": F.expr("size(spans)"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import SPAN_TYPE, match_offsets, resolve_overlaps, shifted
+from veilframe.functions.spans import NO_SPANS, SPAN_TYPE, match_offsets, resolve_overlaps, shifted
 from veilframe.functions.sqltext import ident
 from veilframe.functions.text import sections
 from veilframe.operators.detect import spans_sql
@@ -78,6 +78,7 @@ def term_spans(
     *,
     score: float = 0.6,
     max_words: int | None = None,
+    term_bytes: int | None = None,
     capitalised: bool = True,
     salts: int = 16,
 ) -> DataFrame:
@@ -86,15 +87,22 @@ def term_spans(
     Word n-grams are joined to the table on equality; what is shuffled is words, never texts.  The
     list is broadcast if its measured size allows.  A larger one is shuffled and every term repeated
     for ``salts`` salts, so a word that makes up a large share of all words is spread over as many
-    tasks.  ``max_words`` defaults to the longest listed term.  ``id_cols`` must identify a text.
+    tasks.  ``id_cols`` must identify a text.  The list is measured by a job, unless the caller states both
+    the number of words in its longest term (a longer term is then an error, not lost) and its size.
     """
     listed = terms.select("term", "entity_type").distinct()
-    size = listed.agg(
-        F.max(F.size(F.split("term", " "))).alias("words"),
-        F.sum(F.octet_length("term") + F.octet_length("entity_type") + TERM_OVERHEAD).alias("bytes"),
-    ).first()
-    max_words = max_words or int(size["words"] or 1)
-    small = (size["bytes"] or 0) <= BROADCAST_BYTES
+    words = F.size(F.split("term", " "))
+    if max_words is None or term_bytes is None:
+        size = listed.agg(
+            F.max(words).alias("words"),
+            F.sum(F.octet_length("term") + F.octet_length("entity_type") + TERM_OVERHEAD).alias("bytes"),
+        ).first()
+        term_bytes = (size["bytes"] or 0) if term_bytes is None else term_bytes
+        max_words = max(max_words or 1, int(size["words"] or 1))
+    else:
+        told = F.format_string("the term %s has more words than max_words", "term")
+        listed = listed.withColumn("term", F.when(words > max_words, F.raise_error(told)).otherwise(F.col("term")))
+    small = term_bytes <= BROADCAST_BYTES
     parts = _sectioned(df, text_col, id_cols, SECTION_CHARS)
     tokens = parts.select(
         *id_cols, "base", "piece", F.expr(f"explode(array({match_offsets('piece', TOKEN)}))").alias("w")
@@ -145,8 +153,18 @@ def resolve_table(spans: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     return kept.select(*id_cols, "s.*")
 
 
-def collect_spans(spans: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Back to one row per text: the start-ordered span array."""
-    fields = [c for c in spans.columns if c not in id_cols]
+def collect_spans(
+    spans: DataFrame, id_cols: Sequence[str], texts: DataFrame | None = None
+) -> DataFrame:
+    """Back to one row per text: the start-ordered span array.
+
+    A span table knows only texts with spans; with ``texts`` the result has a row for every row of it,
+    an empty array where nothing was found, and its other columns.
+    """
+    fields = [p.split(":")[0] for p in SPAN_TYPE[len("struct<"):-1].split(",")]
     grouped = spans.groupBy(*id_cols).agg(F.collect_list(F.struct(*fields)).alias("spans"))
-    return grouped.withColumn("spans", F.array_sort("spans"))
+    grouped = grouped.withColumn("spans", F.array_sort("spans"))
+    if texts is None:
+        return grouped
+    joined = texts.join(grouped, list(id_cols), "left")
+    return joined.withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS)))
