@@ -347,10 +347,15 @@ def fit_labeller(sample: list[str], layouts: int = LAYOUTS, steps: int = STEPS,
 
 
 def sample_pages(pages: DataFrame, html_col: str, most: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``most`` pages, chosen by a hash of their content."""
-    rows = pages.select(F.col(f"`{html_col}`").cast("string").alias("h")).where("h is not null")
-    few = rows.select(F.xxhash64("h").alias("by"), "h").orderBy("by").limit(most)
-    return [r["h"] for r in few.collect()]
+    """At most ``most`` different pages, chosen by a hash of their content.
+
+    Tasks send the driver their least hashes only; then the pages up to the last of these.
+    """
+    rows = pages.select(F.col(f"`{html_col}`").cast("string").alias("h")).where("h is not null").withColumn("by", F.xxhash64("h"))
+    last = rows.select("by").distinct().orderBy("by").limit(most).agg(F.max("by").alias("m")).first()["m"]
+    if last is None:
+        return []
+    return [r["h"] for r in rows.where(F.col("by") <= last).groupBy("by").agg(F.min("h").alias("h")).orderBy("by").collect()]
 
 
 def extract(pages: DataFrame, labeller: BlockLabeller | None = None, html_col: str = "html",
