@@ -154,8 +154,8 @@ def test_profile_and_dashboard(spark):
     rows = {r["column_name"]: (r["values_affected"], r["entities"]) for r in jobs.column_profile(frame).collect()}
     assert rows == {"one": (1, 1), "two": (1, 2)}
     board = jobs.dashboard(frame.withColumn("g", F.lit("s")), "two", "g").collect()
-    assert {(r["g"], r["entity_type"]): (r["entities"], r["rows_affected"]) for r in board} == {
-        ("s", "EMAIL_ADDRESS"): (2, 1), ("s", None): (2, None), (None, None): (2, None)}
+    assert {(r["g"], r["entity_type"], r["level"]): (r["entities"], r["rows_affected"]) for r in board} == {
+        ("s", "EMAIL_ADDRESS", 0): (2, 1), ("s", None, 1): (2, 1), (None, None, 2): (2, 1)}
 
 
 def _run(writer):

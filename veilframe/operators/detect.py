@@ -35,7 +35,7 @@ def _context(text: str, start: str, lead: str | None) -> str:
 
 
 def _recognizer_spans(
-    r: Recognizer, text: str, threshold: float, lead: str | None, whole: str, base: str
+    r: Recognizer, text: str, threshold: float, lead: str | None, whole: str, base: str, gated: bool
 ) -> str:
     """Spans of one recognizer in ``text``, a part of ``whole`` that starts at ``base``."""
     hits = [match_offsets(text, p) for p in r.regexes]
@@ -60,7 +60,9 @@ def _recognizer_spans(
         f"transform({found}, h -> struct(h.start + {base} as start, h.end + {base} as end, "
         f"{lit(r.entity_type)} as entity_type, {score} as score, h.text as text))"
     )
-    return f"filter({spans}, s -> s.score >= {threshold}D)" if r.score < threshold else spans
+    if r.score < threshold:
+        spans = f"filter({spans}, s -> s.score >= {threshold}D)"
+    return f"if({r.needs(text)}, {spans}, {NO_SPANS})" if r.needs and gated else spans
 
 
 def _lines_with(text: str, test: Callable[[str], str]) -> str:
@@ -123,7 +125,7 @@ def spans_sql(
 
             def found_in(text: str, base: str, members=members) -> str:
                 each = [
-                    _recognizer_spans(r, text, score_threshold, lead, t, base) for r in members
+                    _recognizer_spans(r, text, score_threshold, lead, t, base, gated) for r in members
                 ]
                 return each[0] if len(each) == 1 else f"concat({', '.join(each)})"
 

@@ -106,6 +106,7 @@ class Recognizer:
     refine: Callable[[str], str] | None = None
     context_words: tuple[str, ...] = ()
     gate: str | None = None
+    needs: Callable[[str], str] | None = None  # a cheap test that every text with a match passes
     languages: tuple[str, ...] = ()  # empty: every language
     line_bounded: bool = False  # no match holds a line feed; no anchors
     custom: bool = False
@@ -232,14 +233,20 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
             entity_type.lower(), entity_type, (pattern,), score, line_bounded=True, **kw
         )
 
+    def has(*parts: str) -> Callable[[str], str]:
+        return lambda t: " or ".join(f"contains({t}, {lit(p)})" for p in parts)
+
+    def digits_in_a_row(t: str) -> str:
+        return f"{t} rlike '[0-9]{{7}}'"
+
     digit, upper = f"[{_chars('0-9')}]", f"[{_chars('A-Z')}]"
     return (
         rec("US_SSN", digit, rf"[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}{_E}", 0.85,
-            check=checksums.ssn_issued, gate="digit", languages=en),
+            check=checksums.ssn_issued, gate="digit", needs=has("-"), languages=en),
         rec("CREDIT_CARD", "[123456789]", rf"(?:[0-9]{{3}}[ -](?:[0-9]{{4}}[ -]){{2}}[0-9]{{1,4}}"
             rf"|[0-9]{{3}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[0-9]{{12,18}}){_E}",
             1.0, check=checksums.luhn, gate="digit"),
-        rec("US_BANK_NUMBER", digit, rf"[0-9]{{7,16}}{_E}", 0.1, gate="digit", languages=en,
+        rec("US_BANK_NUMBER", digit, rf"[0-9]{{7,16}}{_E}", 0.1, gate="digit", needs=digits_in_a_row, languages=en,
             context_words=("account", "acct", "bank", "check", "debit", "save")),
         rec("IBAN_CODE",
             upper, rf"[A-Z][0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,}}"
@@ -247,13 +254,13 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
             1.0, refine=_whole_ibans, gate="digit"),
         rec("CRYPTO", "[13b]", rf"(?:(?<=[13])[1-9A-HJ-NP-Za-km-z]{{25,34}}"
             rf"|(?<=b)c1[02-9ac-hj-np-z]{{11,71}}){_E}",
-            0.5, gate="digit"),
-        rec("US_PASSPORT", f"[{_chars('0-9A-Z')}]", rf"[0-9]{{8}}{_E}", 0.1, gate="digit",
+            0.5, gate="digit", needs=lambda t: f"char_length({t}) > 13"),
+        rec("US_PASSPORT", f"[{_chars('0-9A-Z')}]", rf"[0-9]{{8}}{_E}", 0.1, gate="digit", needs=digits_in_a_row,
             languages=en, context_words=("passport", "travel document")),
         rec("UK_NHS", digit, rf"[0-9]{{2}} ?[0-9]{{3}} ?[0-9]{{4}}{_E}", 1.0,
             check=checksums.nhs_mod11, gate="digit", languages=en),
         rec("MEDICAL_LICENSE", upper, rf"[A-Z][0-9]{{7}}{_E}", 1.0,
-            check=checksums.dea_check, gate="digit", languages=en),
+            check=checksums.dea_check, gate="digit", needs=digits_in_a_row, languages=en),
         rec("EMAIL_ADDRESS",
             _MAILBOX, rf"{_MAILBOX}*@[A-Za-z0-9-][A-Za-z0-9.-]*",
             1.0, _MAILBOX, refine=_whole_address, gate="at"),
@@ -267,7 +274,7 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
             languages=en),
         rec("US_DRIVER_LICENSE", upper, rf"[0-9]{{5,12}}{_E}", 0.1, gate="digit",
             languages=en, context_words=("driver", "driving", "licence", "license", "permit")),
-        rec("IP_ADDRESS", digit, rf"{_FIRST_OCTET}(?:\.{_OCTET}){{3}}{_E}", 0.6, gate="digit"),
+        rec("IP_ADDRESS", digit, rf"{_FIRST_OCTET}(?:\.{_OCTET}){{3}}{_E}", 0.6, gate="digit", needs=has(".")),
         replace(
             rec("IP_ADDRESS",
                 _HEX, rf"{_HEX}{{0,3}}:(?:{_HEX}{{1,4}}:){{6}}{_HEX}{{1,4}}{_E}", 0.6,
@@ -279,9 +286,9 @@ def builtin_recognizers() -> tuple[Recognizer, ...]:
             digit, rf"(?:[0-9]{{3}}-[0-9]{{2}}-[0-9]{{2}}"
             rf"|{_MONTH_REST}/{_DAY}/(?:[0-9]{{4}}|[0-9]{{2}})"
             rf"|{_DAY_REST}\.{_MONTH}\.[0-9]{{4}}){_TIME}{_E}",
-            0.6, gate="digit"),
+            0.6, gate="digit", needs=has("-", "/", ".")),
         rec("NRP", term_pattern(word_lists.NATIONAL_RELIGIOUS_POLITICAL), "", 0.6, languages=en),
-        rec("TITLE", term_pattern(word_lists.TITLES, r"\."), "", 0.5, languages=en),
+        rec("TITLE", term_pattern(word_lists.TITLES, r"\."), "", 0.5, needs=has("."), languages=en),
     )
 
 
