@@ -1,6 +1,6 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
-The lexicon is learned from labelled texts.  Its trie is intersected with Levenshtein automata: a state is
+The lexicon is learned from labelled texts: words, and stems (written ``stem*``) whose endings vary.  Its trie is intersected with Levenshtein automata: a state is
 the set of trie nodes reachable with so many edits, transitions are worked out when first asked for, and
 words that can no longer reach a term leave at once.  Hits are seen in their context window: inside
 quotation marks after a word of reporting they count apart from direct use.  A logistic model
@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import written
 
 SAMPLE_ROWS = 20_000
-MIN_SUPPORT, MIN_PRECISION, MAX_TERMS = 5, 0.95, 500
+# A term is in so many positive texts and so large a share of them; labels are noisy, and words of a few near copies
+# of a wrongly labelled text would pass a bare count.
+MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MAX_TERMS = 8, 0.02, 0.9, 500
+STEM_LETTERS = (4, 8)
+MISSPELT_WEIGHT = 0.1
 NEAR_WORDS = 12
 TOKEN = re.compile(r"[\w@$*]+")
 EDGE = "@$*_"
@@ -33,6 +37,8 @@ REPORTING = frozenset(
 
 
 def edits_allowed(term: str) -> int:
+    if term.endswith("*"):
+        return 0
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -43,18 +49,21 @@ class LexiconAutomaton:
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.most = [0]  # edits allowed to any term below a node
+        self.open = [False]  # a stem ends here: whatever follows belongs to it
         for term in terms:
             node, allowed = 0, edits_allowed(term)
             self.most[0] = max(self.most[0], allowed)
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
                     self.term.append(None)
                     self.most.append(0)
+                    self.open.append(False)
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], allowed)
             self.term[node] = term
+            self.open[node] |= term.endswith("*")
         self.letters = {c for below in self.child for c in below}
         self.sets: list[dict[int, int]] = [self._closed({0: 0})]
         self.numbers = {frozenset(self.sets[0].items()): 0}
@@ -81,7 +90,9 @@ class LexiconAutomaton:
     def _move(self, at: int, letter: str) -> int:
         out: dict[int, int] = {}
         for node, edits in self.sets[at].items():
-            if edits < self.most[node]:  # a letter too many
+            if self.open[node] and edits <= edits_allowed(self.term[node]):
+                out[node] = min(out.get(node, 99), edits)
+            elif edits < self.most[node]:  # a letter too many
                 out[node] = min(out.get(node, 99), edits + 1)
             for c, below in self.child[node].items():
                 cost = edits + (c != letter)
@@ -121,7 +132,7 @@ class ToxicityModel:
     scale: tuple[float, ...]
 
 
-FEATURES = ("exact", "misspelt", "quoted", "density", "kinds", "closest")
+FEATURES = ("exact", "misspelt", "stems", "quoted", "density", "kinds", "closest")
 
 
 class Featurizer:
@@ -145,7 +156,7 @@ class Featurizer:
         terms = {w: h for w in set(words) if (h := hit(w))}
         if not terms:
             return [0.0] * len(FEATURES)
-        exact = misspelt = quoted = 0
+        exact = misspelt = stems = quoted = 0
         places, kinds = [], set()
         for number, m in enumerate(TOKEN.finditer(low)):
             h = terms.get(m.group())
@@ -154,13 +165,15 @@ class Featurizer:
             if self._reported(low, words, number, m.start(), m.end()):
                 quoted += 1
                 continue
-            exact += h[1] == 0
+            stem = h[0].endswith("*")
+            stems += stem
+            exact += h[1] == 0 and not stem
             misspelt += h[1] > 0
             kinds.add(h[0])
             places.append(number)
         gap = min((b - a for a, b in zip(places, places[1:], strict=False)), default=10**6)
-        hits = exact + misspelt
-        return [np.log1p(exact), np.log1p(misspelt), np.log1p(quoted), hits * 50 / (len(words) + 50),
+        hits = exact + misspelt + stems
+        return [np.log1p(exact), np.log1p(misspelt), np.log1p(stems), np.log1p(quoted), hits * 50 / (len(words) + 50),
                 np.log1p(len(kinds)), 1 / np.log(2 + gap)]
 
     @staticmethod
@@ -189,16 +202,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = written(texts.join(known, "id").groupBy(F.sha2("text", 256).alias("key")).agg(
         F.first("text").alias("text"), F.max("label").alias("label")), "toxic-sample")
     positives = sample.where("label = 1").count()
-    words = sample.select("key", "label", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"))
+    every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    least, most = STEM_LETTERS
+    stems = F.array_distinct(F.flatten(F.transform(F.filter(every, lambda w: F.length(w) >= least), lambda w: F.transform(
+        F.sequence(F.lit(least), F.least(F.length(w), F.lit(most))), lambda k: F.concat(F.substring(w, 1, k), F.lit("*"))))))
+    words = sample.select("key", "label", F.explode(F.concat(every, stems)).alias("word"))
     counts = words.groupBy("word").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).where(
         (F.col("yes") >= MIN_SUPPORT) & (F.col("yes") >= MIN_PRECISION * F.col("all")) & (F.length("word") > 2))
-    kept = counts.orderBy(F.desc("yes"), "word").limit(4 * MAX_TERMS).select("word", "yes")
+    kept = counts.orderBy(F.desc("yes"), "word").limit(20 * MAX_TERMS).select("word", "yes")
     rows = words.where("label = 1").join(F.broadcast(kept), "word").groupBy("word", "yes").agg(F.collect_list("key").alias("keys")).collect()
     # Terms must each explain texts that the better supported ones leave open: words of one much copied text don't.
     terms, explained = [], set()
-    for r in sorted(rows, key=lambda r: (-r["yes"], r["word"])):
-        if len(set(r["keys"]) - explained) >= MIN_SUPPORT or r["yes"] >= 0.1 * positives:
+    # Of terms for the same texts the longest comes first, and a word before a stem.
+    for r in sorted(rows, key=lambda r: (-r["yes"], -len(r["word"].removesuffix("*")), len(r["word"]), r["word"])):
+        if r["yes"] < MIN_SHARE * positives:
+            break
+        if len(set(r["keys"]) - explained) >= MIN_SUPPORT or r["yes"] >= 0.1 * positives and not any(
+                r["word"].startswith(t.removesuffix("*")) or t.startswith(r["word"].removesuffix("*")) for t in terms):
             terms.append(r["word"])
             explained |= set(r["keys"])
     terms = tuple(terms[:MAX_TERMS])
@@ -206,17 +226,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Featurizer(terms)
         for batch in batches:
-            made = [(of.row(t), y) for t, y in zip(batch["text"], batch["label"], strict=True)]
-            made += [(of.row(_misspelt(t, terms)), y) for t, y in zip(batch["text"], batch["label"], strict=True) if y]
-            yield pd.DataFrame({"x": [x for x, _ in made], "y": [float(y) for _, y in made]})
+            made = [(of.row(t), y, 1.0) for t, y in zip(batch["text"], batch["label"], strict=True)]
+            made += [(of.row(_misspelt(t, terms)), y, MISSPELT_WEIGHT) for t, y in zip(batch["text"], batch["label"], strict=True) if y]
+            yield pd.DataFrame({"x": [m[0] for m in made], "y": [float(m[1]) for m in made], "w": [m[2] for m in made]})
 
-    table = sample.mapInPandas(features, "x array<double>, y double").toPandas()
+    table = sample.mapInPandas(features, "x array<double>, y double, w double").toPandas()
     if table.empty:
         zero = (0.0,) * len(FEATURES)
         return ToxicityModel(terms, (*zero, -3.0), zero, (1.0,) * len(FEATURES))
     x, y = np.array(table["x"].tolist()), table["y"].to_numpy()
     mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-    return ToxicityModel(terms, tuple(_logistic((x - mean) / scale, y)), tuple(mean), tuple(scale))
+    return ToxicityModel(terms, tuple(_logistic((x - mean) / scale, y, table["w"].to_numpy())), tuple(mean), tuple(scale))
 
 
 def _misspelt(text: str, terms: tuple[str, ...]) -> str:
@@ -227,7 +247,7 @@ def _misspelt(text: str, terms: tuple[str, ...]) -> str:
     return text
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, turns: int = 50) -> list[float]:
     """Ridge-penalised logistic regression by Newton steps; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -235,7 +255,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 50
     penalty[-1, -1] = 1e-6
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
