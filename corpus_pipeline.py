@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from veilframe.llm.common import written
+from veilframe.llm.common import SCRATCH, discard, written
 from veilframe.llm.queries import tokenizer_path
 
 
@@ -13,26 +15,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_left: list[str] = []
+
+
+def _stage(work):
+    """A stage gets documents that have been written, so what the one before left behind is read no more."""
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, *_left)
+        known = set(SCRATCH)
+        out = work(spark, docs, sf_dir)
+        _left[:] = [path for path in SCRATCH if path not in known]
+        return out
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score one half or more go."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingle similarity of 0.8 or more the row with the least doc_id stays."""
     return jaccard_join.drop_near_copies(docs)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of the benchmark go."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of all documents left, packed into sequences."""
     return packing.pack_documents(docs, tokenizer_path())
