@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilframe.llm import decontaminate, exact_dedup, html_text, jaccard_join, packing, toxicity, url_filter, warc
-from veilframe.llm.common import components
+from veilframe.llm.common import components, written
 from veilframe.llm.queries import URL_RULES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, row long, id long, kept string, key string"
@@ -271,7 +271,7 @@ def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in cp.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, folder)
+        before, docs = docs, written(stage(spark, docs, folder), "test-stage")
         assert docs.columns == before.columns and 0 < docs.count() <= before.count(), name
     left = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert len({low(t) for _, t in left}) == len(left) and all(n == 0 for _, _, n in brute_classes(left))

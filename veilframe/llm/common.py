@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.session import shared_folder
+from veilframe.session import remove_folder, shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,7 +24,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    SCRATCH.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+#: The folders that :func:`written` made in this process and nobody has removed, oldest first.
+SCRATCH: list[str] = []
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that no later plan reads any more."""
+    for path in paths:
+        if path in SCRATCH:
+            SCRATCH.remove(path)
+            remove_folder(spark, path)
 
 
 def keyed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,6 +85,7 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
                 "a", F.when(F.col("m.h") < F.xxhash64("a", F.lit(turn)), F.col("m.b"))
                 .otherwise(F.col("a")).alias("to")),
             f"{purpose}-moves")
+        old = [names.scratch, edges.scratch]
         names = written(
             names.join(moves, names["at"] == moves["a"], "left")
             .select("node", F.coalesce("to", "at").alias("at")), f"{purpose}-names")
@@ -78,6 +94,7 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
             edges.join(left, "a").join(right, "b").where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             f"{purpose}-edges")
+        discard(spark, *old, moves.scratch)
     else:
         raise RuntimeError("the components did not settle")
     least = written(names.groupBy("at").agg(F.min("node").alias("component")), f"{purpose}-least")

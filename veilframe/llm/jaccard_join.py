@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import components, keyed_rows, written
+from veilframe.llm.common import components, discard, keyed_rows, written
 from veilframe.llm.words import shingle_set, slices, word_hashes
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -85,8 +85,10 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                      pa.array(bands, pa.list_(pa.int64()))], ["row", "id", "text", "key", "size", "sketch", "bands"])
 
     rows = written(keyed_rows(docs, id_col, text_col), "join-rows")
-    return written(rows.mapInArrow(
+    made = written(rows.mapInArrow(
         sketch, "row long, id long, text string, key binary, size int, sketch binary, bands array<long>"), "sketches")
+    discard(docs.sparkSession, rows.scratch)
+    return made
 
 
 def _blocked(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -239,6 +241,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = _blocked(sets, "group", "n", block)
     checked = written(_collected(parts, "copies", "shingles").select("m", "same").mapInArrow(
         verify, "row long, links long, root long"), "links")
+    discard(docs.sparkSession, sets.scratch)
     links = checked.groupBy("row").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b")), "classes")
     named = nodes.select("key", "row", "least_id", "copies").join(links, "row", "left").join(
