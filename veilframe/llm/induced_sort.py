@@ -162,8 +162,11 @@ class _Pass:
                 self.low[t] = np.minimum(self.low[t], down)
             return []
         target = self.text[before[at]]
-        order = np.argsort(target, kind="stable")
+        # Small numbers are sorted by radix.
+        order = np.argsort(target.astype(np.uint16) if len(self.last) <= 1 << 16 else target, kind="stable")
         at, target = at[order], target[order]
+        if self.cap <= 1:  # only the order is asked for
+            return self.queue.push(target, np.stack([before[at], np.zeros(len(at), np.int64)], 1))
         starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         lo = np.append(0, at[:-1] + 1)
         lo[starts] = 0
@@ -226,8 +229,7 @@ def sorted_suffixes(text: np.ndarray, cap: int, limit: int = MEMORY_TUPLES, base
         order = np.argsort(names)
         common = np.zeros(len(order), np.int64)
     elif len(names) <= base:
-        order = _doubled(names)
-        common = np.append(0, common_prefix(names, order[:-1], order[1:], np.zeros(len(order) - 1, np.int64), cap))
+        order, common = _doubled(names, cap)
     else:
         parts = list(sorted_suffixes(names, cap, limit, base))
         falling = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
@@ -269,18 +271,29 @@ def _names(text, is_s, runs, left, limit) -> np.ndarray:
     return out
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order in memory by doubling the length that ranks stand for."""
-    n, step = len(names), 1
-    rank = names.astype(np.int64)
+def _doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and common prefixes in memory, by doubling the length that ranks stand for.
+
+    Suffixes that agree in ``cap`` symbols stay in any order.  The ranks of all lengths give the common
+    prefix in as many steps as there are lengths.
+    """
+    n, rank, ranks = len(names), names.astype(np.int64), []
     while True:
+        ranks.append(rank)
+        step = 1 << (len(ranks) - 1)
         follow = np.zeros(n, np.int64)
-        follow[:-step if step < n else 0] = rank[step:] + 1
+        follow[:max(n - step, 0)] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + follow
         order = np.argsort(key, kind="stable")
         new = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
+        if new[-1] == n - 1 or 2 * step >= min(n, cap):
+            break
+    ranks.append(rank)
+    a, b, common = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        x, y = a + common, b + common
+        fits = (np.maximum(x, y) + (1 << level)) <= n
+        common += (fits & (ranks[level][np.minimum(x, n - 1)] == ranks[level][np.minimum(y, n - 1)])) << level
+    return order, np.append(0, np.minimum(common, cap))

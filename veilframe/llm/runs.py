@@ -31,7 +31,7 @@ _RNG = np.random.default_rng(11)
 _BASES = [int(b) | 1 for b in _RNG.integers(2**40, 2**62, 2)]
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _TEXT_BYTES = 2 << 20
-MOST_CLASSES = 2000
+MOST_CLASSES = 8000
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,8 @@ def repeated_starts(docs: DataFrame, id_col: str, text_col: str, w: Windows, mat
     contexts = written(_contexts(base, open_, w), "window-contexts")
     few = contexts.where(F.col("m") <= most_classes)
     # Whole keys in a task, in the order of first occurrence.
-    dealt = few.repartition("key").sortWithinPartitions("key", "first")
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = few.repartition(tasks, "key").sortWithinPartitions("key", "first")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))

@@ -16,21 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.induced_sort import MEMORY_TUPLES, sorted_suffixes
+from veilframe.llm.induced_sort import sorted_suffixes
 from veilframe.llm.runs import MOST_CLASSES, Windows, merged, repeated_starts, with_spans
 from veilframe.llm.words import slices
 
-LENGTH, SHARD_BYTES = 200, 8 << 20
+# A shard of this size takes about 150 MB while it is sorted; what the queues hold beyond their limit is on disk.
+LENGTH, SHARD_BYTES, SHARD_TUPLES = 200, 1 << 20, 1 << 18
 
 
-def repeated_in_shard(contexts: list[tuple], length: int, limit: int = MEMORY_TUPLES) -> Iterator[tuple[int, int, int]]:
-    """(class, a, b): the starts a to b - 1 of a class repeat.  ``contexts``: (class, size, copies, bytes)."""
-    m = len(contexts)
-    parts = []
-    for n, (_, _, _, data) in enumerate(contexts):
-        parts += [np.frombuffer(data, np.uint8).astype(np.int32) + m, np.array([m - 1 - n], np.int32)]
-    text = np.concatenate(parts)
+def repeated_in_shard(contexts: list[tuple], length: int, limit: int = SHARD_TUPLES) -> Iterator[tuple[int, int, int]]:
+    """(class, a, b): the starts a to b - 1 of a class repeat.  ``contexts``: (class, size, copies, bytes).
+
+    One separator serves all contexts: each start has ``length`` bytes before the next one, so no common prefix
+    that counts can hold a separator.
+    """
+    raw = np.frombuffer(b"".join(c[3] + b"\0" for c in contexts), np.uint8)
     begins = np.append(0, np.cumsum([len(c[3]) + 1 for c in contexts]))
+    text = raw.astype(np.int32) + 2
+    text[begins[1:] - 1] = 1
+    text[-1] = 0
     sizes, copies = np.array([c[1] for c in contexts]), np.array([c[2] for c in contexts])
     marked = np.zeros(len(text), bool)
     for part in sorted_suffixes(text, length, limit):
