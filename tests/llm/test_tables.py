@@ -230,6 +230,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, rows), marks.where("false")).where("predicted = 1").count() == 0
 
 
+def toxic_table(spark, bad, clean=400):
+    """Rows and labels: every text of ``bad`` is toxic, the clean ones are of harmless words only."""
+    rng = random.Random(7)
+    plain = [f"{a}{b}" for a in ("wa", "ne", "ti", "ro", "lu", "mi") for b in ("ber", "gel", "nost", "fan", "duk", "zim")]
+    filler = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    texts = [f"{filler(9)} {t} {filler(9)}" for t in bad] + [filler(20) for _ in range(clean)]
+    labels = [(i, int(i < len(bad))) for i in range(len(texts))]
+    return table(spark, list(enumerate(texts))), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_lexicon_keeps_every_term(spark):
+    docs, marks = toxic_table(spark, ["grumbler zwackel"] * 14 + ["grumbler"] * 200)
+    model = toxicity.fit(docs, marks)
+    assert {"grumbler", "zwackel"} <= set(model.terms)
+    # The words of one much copied text are no terms.
+    rng = random.Random(8)
+    body = [f"copy{rng.randrange(10**6)}" for _ in range(150)]
+    copies = [" ".join([*body[:k], "other", *body[k + 1:]]) for k in range(0, 150, 5)]
+    docs, marks = toxic_table(spark, ["grumbler"] * 60 + copies)
+    assert set(t for t in toxicity.fit(docs, marks).terms if not t.endswith("*")) == {"grumbler"}
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
     <div class="ad">Buy this now.</div><article><h1>Head &amp; line</h1><p>First <b>para</b>graph&nbsp;of the\n page, long enough to read.<script>var x = "</p>";</script>

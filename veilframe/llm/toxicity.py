@@ -10,6 +10,7 @@ over a few sums per text, also learned from labels, gives the score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import written
+from veilframe.llm.common import discard, written
+from veilframe.llm.jaccard_join import THRESHOLD, TOLERANCE, WORDS, _Forest, _sketches, bucket_forest, needed_matches
 
 SAMPLE_ROWS = 20_000
-# A term is in so many positive texts and so large a share of them; labels are noisy, and words of a few near copies
-# of a wrongly labelled text would pass a bare count.
-MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MAX_TERMS = 8, 0.02, 0.9, 500
+# A term is in so many positive texts and so large a share of them.  Near copies count as one text: labels are noisy,
+# and words of a few near copies of a wrongly labelled text would pass a bare count.
+MIN_SUPPORT, MIN_SHARE, MIN_PRECISION = 8, 0.02, 0.9
 STEM_LETTERS = (4, 8)
 MISSPELT_WEIGHT = 0.1
 NEAR_WORDS = 12
@@ -84,8 +86,9 @@ class LexiconAutomaton:
         return state
 
     def _best(self, state: dict[int, int]) -> tuple[str, int] | None:
-        ends = [(e, self.term[n]) for n, e in state.items() if self.term[n] and e <= edits_allowed(self.term[n])]
-        return (min(ends)[1], min(ends)[0]) if ends else None
+        # Of equally near terms a word comes before a stem and a longer stem before a shorter.
+        ends = [(e, t.endswith("*") and 99 - len(t), t) for n, e in state.items() if (t := self.term[n]) and e <= edits_allowed(t)]
+        return (min(ends)[2], min(ends)[0]) if ends else None
 
     def _move(self, at: int, letter: str) -> int:
         out: dict[int, int] = {}
@@ -200,34 +203,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = written(texts.join(known, "id").groupBy(F.sha2("text", 256).alias("key")).agg(
-        F.first("text").alias("text"), F.max("label").alias("label")), "toxic-sample")
-    positives = sample.where("label = 1").count()
+        F.first("text").alias("text"), F.max("label").alias("label")).withColumn("number", F.monotonically_increasing_id()), "toxic-sample")
+    classes = F.broadcast(near_copies(sample))
+    sample_classes = sample.join(classes, "number", "left").select(
+        F.coalesce("class_label", "label").alias("label"), F.coalesce("class", "number").alias("class"), F.col("class").isNotNull().alias("copied"), "text")
+    positives = sample_classes.where("label = 1").agg(F.count_distinct("class")).first()[0]
     every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     least, most = STEM_LETTERS
     stems = F.array_distinct(F.flatten(F.transform(F.filter(every, lambda w: F.length(w) >= least), lambda w: F.transform(
         F.sequence(F.lit(least), F.least(F.length(w), F.lit(most))), lambda k: F.concat(F.substring(w, 1, k), F.lit("*"))))))
-    words = sample.select("key", "label", F.explode(F.concat(every, stems)).alias("word"))
+    words = sample_classes.select("class", "label", "copied", F.explode(F.concat(every, stems)).alias("word"))
+    words = words.where("not copied").union(words.where("copied").distinct())
     counts = words.groupBy("word").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).where(
         (F.col("yes") >= MIN_SUPPORT) & (F.col("yes") >= MIN_PRECISION * F.col("all")) & (F.length("word") > 2))
-    kept = counts.orderBy(F.desc("yes"), "word").limit(20 * MAX_TERMS).select("word", "yes")
-    rows = words.where("label = 1").join(F.broadcast(kept), "word").groupBy("word", "yes").agg(F.collect_list("key").alias("keys")).collect()
-    # Terms must each explain texts that the better supported ones leave open: words of one much copied text don't.
-    terms, explained = [], set()
-    # Of terms for the same texts the longest comes first, and a word before a stem.
-    for r in sorted(rows, key=lambda r: (-r["yes"], -len(r["word"].removesuffix("*")), len(r["word"]), r["word"])):
-        if r["yes"] < MIN_SHARE * positives:
-            break
-        if len(set(r["keys"]) - explained) >= MIN_SUPPORT or r["yes"] >= 0.1 * positives and not any(
-                r["word"].startswith(t.removesuffix("*")) or t.startswith(r["word"].removesuffix("*")) for t in terms):
-            terms.append(r["word"])
-            explained |= set(r["keys"])
-    terms = tuple(terms[:MAX_TERMS])
+    terms = tuple(sorted(r["word"] for r in counts.collect() if r["yes"] >= MIN_SHARE * positives))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Featurizer(terms)
         for batch in batches:
             made = [(of.row(t), y, 1.0) for t, y in zip(batch["text"], batch["label"], strict=True)]
-            made += [(of.row(_misspelt(t, terms)), y, MISSPELT_WEIGHT) for t, y in zip(batch["text"], batch["label"], strict=True) if y]
+            made += [(of.row(_misspelt(t, of)), y, MISSPELT_WEIGHT) for t, y in zip(batch["text"], batch["label"], strict=True) if y]
             yield pd.DataFrame({"x": [m[0] for m in made], "y": [float(m[1]) for m in made], "w": [m[2] for m in made]})
 
     table = sample.mapInPandas(features, "x array<double>, y double, w double").toPandas()
@@ -239,12 +234,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(terms, tuple(_logistic((x - mean) / scale, y, table["w"].to_numpy())), tuple(mean), tuple(scale))
 
 
-def _misspelt(text: str, terms: tuple[str, ...]) -> str:
-    """The text with an edit in every term that allows one, so that misspellings get a weight."""
-    for n, term in enumerate(t for t in terms if edits_allowed(t)):
-        k = 1 + n % (len(term) - 2)
-        text = re.sub(rf"(?i)\b{re.escape(term)}\b", term[:k] + term[k + 1:] if n % 2 else term[:k] + "*" + term[k + 1:], text)
-    return text
+def near_copies(sample: DataFrame) -> DataFrame:
+    """(number, class, class_label) of the texts of ``sample`` (number, text, label) that are near copies of others.
+
+    A class has the label of most of its texts.  The driver gets a MinHash sketch of each text; the sample is bounded.
+    """
+    spark = sample.sparkSession
+    sketches = _sketches(sample, "number", "text", WORDS)
+    found = sketches.where("key is not null").selectExpr("id", "sketch", "bands").join(
+        sample.select(F.col("number").alias("id"), "label"), "id").toPandas()
+    discard(spark, sketches.scratch)
+    classes, needed = _Forest(len(found)), needed_matches(THRESHOLD, TOLERANCE)
+    if len(found):
+        sketch = np.frombuffer(b"".join(found["sketch"]), np.uint8).reshape(len(found), -1)
+        for band in np.stack(found["bands"].to_numpy()).T:
+            order = np.argsort(band, kind="stable")
+            for run in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+                if len(run) > 1 and len({classes.root(x) for x in run.tolist()}) > 1:
+                    for a, b in bucket_forest(run, sketch[run], np.ones(len(run), bool), True, needed):
+                        classes.join(int(a), int(b))
+    found["class"] = found["id"].to_numpy()[[classes.root(x) for x in range(len(found))]] if len(found) else found["id"]
+    by = found.groupby("class")["label"]
+    found["class_label"] = (by.transform("mean") >= 0.5).astype(int)
+    rows = found[by.transform("size") > 1][["id", "class", "class_label"]]
+    return spark.createDataFrame([tuple(map(int, r)) for r in rows.to_numpy()], "number long, class long, class_label int")
+
+
+def _misspelt(text: str, of: Featurizer) -> str:
+    """The text with an edit in every word that is a term and allows one, so that misspellings get a weight."""
+    def edited(m: re.Match) -> str:
+        word = m.group()
+        found = of.hit(word)
+        if not found or found[1] or not edits_allowed(found[0]):
+            return word
+        n = zlib.crc32(found[0].encode())
+        k = word.index(word.strip(EDGE)) + 1 + n % (len(found[0]) - 2)
+        return word[:k] + ("" if n % 2 else "*") + word[k + 1:]
+
+    return TOKEN.sub(edited, (text or "").lower())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, turns: int = 50) -> list[float]:
