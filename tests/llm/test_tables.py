@@ -230,6 +230,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, rows), marks.where("false")).where("predicted = 1").count() == 0
 
 
+def test_misspelt_stems():
+    rng = random.Random(2)
+    stems = ["abcde*", "bcdab*", "abcdeabc*", "ccd*"]
+    automaton = toxicity.LexiconAutomaton(stems)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdex") for _ in range(rng.randint(0, 11)))
+        # Edits are allowed before the last letter of the stem; what follows it is free.
+        least = {s: min((brute_edits(word[:i], s[:-2]) for i, c in enumerate(word) if c == s[-2]), default=99) for s in stems}
+        near = [(e, -len(s), s) for s, e in least.items() if e <= toxicity.edits_allowed(s)]
+        assert automaton.find(word) == ((min(near)[2], min(near)[0]) if near else None)
+    of = toxicity.Featurizer(("abscheul*",))
+    assert of.hit("abschulicher") == ("abscheul*", 1) and of.hit("absolut") is None
+    edited = toxicity._misspelt("wie Abscheuliches hier", of)
+    assert edited != "wie abscheuliches hier" and of.hit(edited.split()[1]) == ("abscheul*", 1)
+
+
 def toxic_table(spark, bad, clean=400):
     """Rows and labels: every text of ``bad`` is toxic, the clean ones are of harmless words only."""
     rng = random.Random(7)

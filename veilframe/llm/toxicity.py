@@ -39,9 +39,9 @@ REPORTING = frozenset(
 
 
 def edits_allowed(term: str) -> int:
-    if term.endswith("*"):
-        return 0
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """By the letters a term has itself; what follows a stem is free in any case."""
+    letters = len(term.removesuffix("*"))
+    return 0 if letters < 5 else 1 if letters < 9 else 2
 
 
 class LexiconAutomaton:
@@ -51,27 +51,33 @@ class LexiconAutomaton:
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.most = [0]  # edits allowed to any term below a node
-        self.open = [False]  # a stem ends here: whatever follows belongs to it
+        # A stem ends in a node of its own, where whatever follows belongs to it.  Only its last letter, as it is, leads there:
+        # with an edit there any word with the letters before it would do.
+        self.open = [False]
+        self.stem: list[dict[str, int]] = [{}]
         for term in terms:
             node, allowed = 0, edits_allowed(term)
             self.most[0] = max(self.most[0], allowed)
-            for c in term.removesuffix("*"):
+            for c in term[:-2] if term.endswith("*") else term:
                 if c not in self.child[node]:
-                    self.child[node][c] = len(self.child)
-                    self.child.append({})
-                    self.term.append(None)
-                    self.most.append(0)
-                    self.open.append(False)
+                    self.child[node][c] = self._node()
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], allowed)
+            if term.endswith("*"):
+                node = self.stem[node].setdefault(term[-2], self._node())
+                self.most[node], self.open[node] = allowed, True
             self.term[node] = term
-            self.open[node] |= term.endswith("*")
-        self.letters = {c for below in self.child for c in below}
+        self.letters = {c for below in [*self.child, *self.stem] for c in below}
         self.sets: list[dict[int, int]] = [self._closed({0: 0})]
         self.numbers = {frozenset(self.sets[0].items()): 0}
         self.moves: list[dict[str, int]] = [{}]
         self.accepted: list[tuple[str, int] | None] = [self._best(self.sets[0])]
 
+    def _node(self) -> int:
+        for column, empty in ((self.child, {}), (self.term, None), (self.most, 0), (self.open, False), (self.stem, {})):
+            column.append(empty)
+        return len(self.child) - 1
+
     def _closed(self, state: dict[int, int]) -> dict[int, int]:
         """With the nodes that letters missing from the word lead to."""
         todo = list(state.items())
@@ -93,9 +99,13 @@ class LexiconAutomaton:
     def _move(self, at: int, letter: str) -> int:
         out: dict[int, int] = {}
         for node, edits in self.sets[at].items():
-            if self.open[node] and edits <= edits_allowed(self.term[node]):
+            if self.open[node]:
                 out[node] = min(out.get(node, 99), edits)
-            elif edits < self.most[node]:  # a letter too many
+                continue
+            below = self.stem[node].get(letter)
+            if below is not None and edits <= self.most[below]:
+                out[below] = min(out.get(below, 99), edits)
+            if edits < self.most[node]:  # a letter too many
                 out[node] = min(out.get(node, 99), edits + 1)
             for c, below in self.child[node].items():
                 cost = edits + (c != letter)
@@ -135,7 +145,7 @@ class ToxicityModel:
     scale: tuple[float, ...]
 
 
-FEATURES = ("exact", "misspelt", "stems", "quoted", "density", "kinds", "closest")
+FEATURES = ("exact", "misspelt", "stems", "misspelt stems", "quoted", "density", "kinds", "closest")
 
 
 class Featurizer:
@@ -159,7 +169,7 @@ class Featurizer:
         terms = {w: h for w in set(words) if (h := hit(w))}
         if not terms:
             return [0.0] * len(FEATURES)
-        exact = misspelt = stems = quoted = 0
+        exact = misspelt = stems = misspelt_stems = quoted = 0
         places, kinds = [], set()
         for number, m in enumerate(TOKEN.finditer(low)):
             h = terms.get(m.group())
@@ -169,15 +179,16 @@ class Featurizer:
                 quoted += 1
                 continue
             stem = h[0].endswith("*")
-            stems += stem
+            stems += h[1] == 0 and stem
             exact += h[1] == 0 and not stem
-            misspelt += h[1] > 0
+            misspelt += h[1] > 0 and not stem
+            misspelt_stems += h[1] > 0 and stem
             kinds.add(h[0])
             places.append(number)
         gap = min((b - a for a, b in zip(places, places[1:], strict=False)), default=10**6)
-        hits = exact + misspelt + stems
-        return [np.log1p(exact), np.log1p(misspelt), np.log1p(stems), np.log1p(quoted), hits * 50 / (len(words) + 50),
-                np.log1p(len(kinds)), 1 / np.log(2 + gap)]
+        hits = exact + misspelt + stems + misspelt_stems
+        return [np.log1p(exact), np.log1p(misspelt), np.log1p(stems), np.log1p(misspelt_stems), np.log1p(quoted),
+                hits * 50 / (len(words) + 50), np.log1p(len(kinds)), 1 / np.log(2 + gap)]
 
     @staticmethod
     def _reported(low: str, words: list[str], number: int, start: int, end: int) -> bool:
@@ -268,7 +279,7 @@ def _misspelt(text: str, of: Featurizer) -> str:
         if not found or found[1] or not edits_allowed(found[0]):
             return word
         n = zlib.crc32(found[0].encode())
-        k = word.index(word.strip(EDGE)) + 1 + n % (len(found[0]) - 2)
+        k = word.index(word.strip(EDGE)) + 1 + n % (len(found[0].removesuffix("*")) - 2)
         return word[:k] + ("" if n % 2 else "*") + word[k + 1:]
 
     return TOKEN.sub(edited, (text or "").lower())
