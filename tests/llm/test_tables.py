@@ -268,6 +268,11 @@ def test_lexicon_keeps_every_term(spark):
     assert set(t for t in toxicity.fit(docs, marks).terms if not t.endswith("*")) == {"grumbler"}
 
 
+def test_lexicon_keeps_rare_terms(spark):
+    docs, marks = toxic_table(spark, ["zwackel"] * 14 + ["grumbler"] * 800)
+    assert {"grumbler", "zwackel"} <= set(toxicity.fit(docs, marks).terms)
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
     <div class="ad">Buy this now.</div><article><h1>Head &amp; line</h1><p>First <b>para</b>graph&nbsp;of the\n page, long enough to read.<script>var x = "</p>";</script>
