@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilframe.llm import (
     decontaminate,
     exact_dedup,
+    fill_in_middle,
     html_text,
     jaccard_join,
     packing,
@@ -71,6 +73,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(made)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -137,6 +146,19 @@ kept as (select doc_id, string_agg(x, ' ' order by p) as k, count(*) as n from w
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
 from d left join kept using (doc_id)"""
 
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as s from documents),
+h as (select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as u, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2,
+             ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+             t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 as plain from h),
+x as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as e,
+             case when plain then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from c)
+select doc_id, len(u)::bigint as n, form, case when not plain then length(p) end as prefix_chars, case when not plain then length(m) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || e || '<M>' || m
+              else '<S>' || e || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from x"""
+
 #: name -> (query, SQL or None)
 ENTRIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
@@ -149,4 +171,5 @@ ENTRIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
