@@ -105,10 +105,11 @@ def gather(out: np.ndarray, out_begins: np.ndarray, form: np.ndarray) -> tuple[n
     cut = form > 0
     at, kinds, texts = marks_in(out, out_begins)
     inside = cut[texts]
-    at, kinds = at[inside].reshape(-1, 3), kinds[inside].reshape(-1, 3)
-    order = np.where(form[cut][:, None] == 1, np.array([0, 1, 2]), np.array([1, 0, 2]))
-    if len(at) != cut.sum() or not np.array_equal(kinds, order) or not np.array_equal(texts[inside].reshape(-1, 3)[:, 0], np.flatnonzero(cut)):
+    at, kinds, texts = at[inside], kinds[inside], texts[inside]
+    order = np.where(form[cut][:, None] == 1, np.array([0, 1, 2]), np.array([1, 0, 2])).ravel()
+    if not np.array_equal(texts, np.repeat(np.flatnonzero(cut), 3)) or not np.array_equal(kinds, order):
         raise ValueError("an output does not hold the markers of its form once each and in order")
+    at = at.reshape(-1, 3)
     begins = np.concatenate([[0], np.cumsum(np.diff(out_begins) - np.where(cut, 9, 0))])
     starts, ends, out_ends = begins[:-1], begins[1:], out_begins[1:]
     prefix, middle, suffix = (np.zeros(len(form), np.int64) for _ in range(3))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import (
+    cross_tokenizer,
     decontaminate,
     exact_dedup,
     fill_in_middle,
@@ -73,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.aligned_tokens(
+        _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     back = fill_in_middle.restored(made)
@@ -171,5 +177,6 @@ ENTRIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_cross_tokenizer": (op11_cross_tokenizer, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
