@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +39,9 @@ from veilframe.llm.csr import Csr, from_entries, incidence, product, times_vecto
 from veilframe.llm.flat import flat, stretches, unflat
 from veilframe.llm.words import mixed, slices
 
-BLOCK_BYTES, ENCODE_BATCH = 8 << 20, 8192
+BLOCK_BYTES, ENCODE_BATCH, STRIP = 4 << 20, 64, 1 << 19
+#: Chunks that are encoded as one text where the cut between them is sound.
+TOGETHER = 64
 #: Ids of either side fit in this many bits, which leaves 16 to deal pairs to shards evenly.
 ID_BITS = 24
 SPACE = "▁"  # a space as the piece vocabulary writes it
@@ -91,12 +95,50 @@ class Sides:
         begins = np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return np.frombuffer(b"".join(each), np.uint8), begins
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides for texts that begin with the space that B adds by itself."""
-        a: list[list[int]] = []
-        for k in range(0, len(texts), ENCODE_BATCH):
-            a += [e.ids for e in self.a.encode_batch_fast(texts[k:k + ENCODE_BATCH], add_special_tokens=False)]
-        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+    def encoded(self, chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides the ids of chunks that begin with the space which B adds by itself, and where each chunk's begin.
+
+        Chunks between which a text would be cut are encoded in one call and their ids told apart by their bytes.
+        """
+        joins = np.flatnonzero([self.cuts and _PLAIN_CHUNK.match(c) is not None for c in chunks])
+        alone = np.setdiff1d(np.arange(len(chunks)), joins)
+        calls: list[tuple[Callable, np.ndarray]] = [
+            (lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.a_bytes[1]),
+            (lambda texts: self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes[1]),
+        ]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        out = []
+        for call, table in calls:
+            widths = np.diff(table)
+            ids, first, length = array("i"), np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+            left = [alone]
+            for group in _parts(joins, TOGETHER * ENCODE_BATCH):
+                texts = [b"".join(chunks[i] for i in part).decode("utf-8", "replace") for part in _parts(group, TOGETHER)]
+                encoded = call(texts)
+                for part, own in zip(_parts(group, TOGETHER), encoded, strict=True):
+                    ends, borders = np.cumsum(widths[own]), np.cumsum(sizes[part])
+                    at = np.searchsorted(ends, borders)
+                    if at[-1] + 1 != len(own) or not np.array_equal(ends[at], borders):
+                        left.append(part)
+                        continue
+                    length[part] = np.diff(at, prepend=-1)
+                    first[part] = len(ids) + at + 1 - length[part]
+                    ids.extend(own)
+            for part in _parts(np.concatenate(left), TOGETHER * ENCODE_BATCH):
+                for i, own in zip(part.tolist(), call([chunks[i].decode("utf-8", "replace") for i in part]), strict=True):
+                    first[i], length[i] = len(ids), len(own)
+                    ids.extend(own)
+            flat_ids = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
+            out.append((flat_ids[stretches(first, length)].astype(np.int64), np.concatenate([[0], np.cumsum(length)])))
+        return out
+
+
+#: A space, then characters that no rule takes for white space first and last.
+_PLAIN_CHUNK = re.compile(rb" (?=[\x21-\x7e\xc3])(?s:.*)(?:[\x21-\x7e]|\xc3[\x80-\xbf])\Z")
+
+
+def _parts(numbers: np.ndarray, most: int) -> list[np.ndarray]:
+    return [numbers[k:k + most] for k in range(0, len(numbers), most)]
 
 
 @dataclass
@@ -108,15 +150,6 @@ class Side:
     ends: np.ndarray
 
 
-def _flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    flat_ids = np.empty(int(begins[-1]), np.int64)
-    for k, ids in enumerate(lists):
-        flat_ids[begins[k]:begins[k + 1]] = ids
-    return flat_ids, begins
-
-
 def _gives_back(ids: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray, np.ndarray], data: np.ndarray,
                 starts: np.ndarray) -> np.ndarray:
     """Which chunks the joined bytes of their tokens equal."""
@@ -161,9 +194,7 @@ def a_of(keys: np.ndarray) -> np.ndarray:
 def align(sides: Sides, chunks: pa.Array) -> Aligned:
     """Encode and align chunks of bytes, each beginning with a space."""
     data, starts = flat(chunks)
-    a_lists, b_lists = sides.encoded([c.decode("utf-8", "replace") for c in chunks.to_pylist()])
-    a_ids, a_begins = _flat_ids(a_lists)
-    b_ids, b_begins = _flat_ids(b_lists)
+    (a_ids, a_begins), (b_ids, b_begins) = sides.encoded(chunks.to_pylist())
     good = _gives_back(a_ids, a_begins, sides.a_bytes, data, starts) & _gives_back(b_ids, b_begins, sides.b_bytes, data, starts)
     a, b = (
         Side(ids[stretches(begins[:-1][good], np.diff(begins)[good])],
@@ -176,7 +207,7 @@ def align(sides: Sides, chunks: pa.Array) -> Aligned:
     by_byte = incidence(np.concatenate([[0], a.ends]), np.arange(size), size)
     b_of_byte = incidence(np.arange(size + 1), np.repeat(np.arange(len(b.ids)), np.diff(b.ends, prepend=0)), len(b.ids))
     overlaps = np.zeros(n, np.int64)
-    for rows, _, _ in product(by_byte, b_of_byte):
+    for rows, _, _ in product(by_byte, b_of_byte, STRIP):
         overlaps += np.bincount(chunk_of_a[rows], minlength=n)
     # Groups end where tokens of both sides do.
     borders = np.intersect1d(a.ends, b.ends, assume_unique=True)
@@ -184,7 +215,7 @@ def align(sides: Sides, chunks: pa.Array) -> Aligned:
     in_group = incidence(np.arange(len(a.ids) + 1), group_a, len(borders))
     of_group = incidence(np.searchsorted(group_b, np.arange(len(borders) + 1)), np.arange(len(b.ids)), len(b.ids))
     parts = []
-    for rows, columns, _ in product(in_group, of_group):
+    for rows, columns, _ in product(in_group, of_group, STRIP):
         order, keys = chunk_of_a[rows], pair_key(a.ids[rows], b.ids[columns])
         parts.append(_counted(order, keys, np.ones(len(keys), np.int64)))
     chunk, pair, links = _counted(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -263,7 +294,7 @@ def _block(sides: Sides, ids: list, texts: pa.Array) -> dict:
     by_pair = Csr(np.searchsorted(chunk, np.arange(n + 1)), number, links, len(pairs))
     once = from_entries(by_chunk.row_numbers(), chunks, np.ones(len(chunks), np.int64), len(ids), n)
     docs = np.zeros(len(pairs), np.int64)
-    for _, columns, _ in product(once, by_pair):
+    for _, columns, _ in product(once, by_pair, STRIP):
         docs += np.bincount(columns, minlength=len(pairs))
     return {
         "n_pairs": len(pairs), "ids": ids, "sha": sha, "facts": [times_vector(by_chunk, f).tolist() for f in facts],

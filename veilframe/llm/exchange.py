@@ -88,11 +88,11 @@ class Shard:
         return np.concatenate([from_planes(v[number], dtype) for v in self.values])
 
 
-def answered(asked: DataFrame, answer: Callable[[int, Shard], tuple[list[np.ndarray], list[float]]], purpose: str) -> DataFrame:
+def answered(asked: DataFrame, answer: Callable[[int, Shard], tuple], purpose: str) -> DataFrame:
     """The written replies to the asks.
 
-    ``answer(kind, shard)`` gives the columns of the reply, one value per entry, and some sums over the shard's
-    keys; these sums stand in one more row per shard, whose block is null.
+    ``answer(kind, shard)`` gives the columns of the reply, one value per entry, some sums over the shard's keys, and
+    if it likes the shard's table as arrays of bytes; sums and table stand in one more row per shard, whose block is null.
     """
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -101,10 +101,10 @@ def answered(asked: DataFrame, answer: Callable[[int, Shard], tuple[list[np.ndar
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         shard = Shard(distinct, at, table.column("block").to_pylist(), bounds, table.column("values").to_pylist())
-        columns, stats = answer(kind, shard)
+        columns, stats, *own = answer(kind, shard)
         rows = [(block, kind, number, [planes(c[a:b]) for c in columns], None)
                 for block, a, b in zip(shard.blocks, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        rows.append((None, kind, number, None, stats))
+        rows.append((None, kind, number, own[0] if own else None, stats))
         types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                         names=["block", "kind", "shard", "values", "stats"])

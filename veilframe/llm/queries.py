@@ -12,6 +12,7 @@ from veilframe.llm import (
     fill_in_middle,
     html_text,
     jaccard_join,
+    katz,
     packing,
     substring_dedup,
     suffix_dedup,
@@ -79,6 +80,10 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), katz.bucket_of("doc_id", 7) == 2)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     back = fill_in_middle.restored(made)
@@ -178,5 +183,6 @@ ENTRIES = {
     "op9_substring_dedup": (op9_substring_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
     "op11_cross_tokenizer": (op11_cross_tokenizer, None),
+    "op12_katz_scores": (op12_katz_scores, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
