@@ -33,7 +33,7 @@ from veilframe.llm import exchange as ex
 from veilframe.llm.common import written
 from veilframe.llm.words import mixed, slices, word_hashes
 
-BLOCK_BYTES, ORDER, DISCOUNTED = 16 << 20, 2, 5
+BLOCK_BYTES, ORDER, DISCOUNTED = 8 << 20, 2, 5
 #: Counts of counts are kept up to this count; the discounts' fallback fits a line to them.
 COUNTS_OF_COUNTS = 12
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -56,17 +56,27 @@ class Block:
     words: np.ndarray
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of the last ``order`` tokens up to each token, and of the ``order - 1`` before it (its context)."""
-        first = self.begins[:-1]
-        word = self.words[self.tokens]
-        ending = word
-        before = np.zeros(len(word), np.uint64)
+        """(ascending distinct hashes of the block's n-grams, and for each token which is that of the last ``order`` tokens)."""
+        if order == 1:
+            return self.words, self.tokens
+        ending = word = self.words[self.tokens]
         for k in range(2, order + 1):
             before = np.empty_like(ending)
             before[1:] = ending[:-1]
-            before[first] = START + np.uint64(k)
+            before[self.begins[:-1]] = START + np.uint64(k)
             ending = mixed(before * np.uint64(0xD6E8FEB86659FD93) + word + np.uint64(k))
-        return ending, before
+        return np.unique(ending, return_inverse=True)
+
+    def contexts(self, order: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the ``order - 1`` tokens before each token, from the n-grams one shorter; what stands before a
+        text is one more."""
+        start = START + np.uint64(order)
+        place = int(np.searchsorted(keys, start))
+        of = np.empty(len(at), np.int64)
+        of[1:] = at[:-1]
+        of[1:] += of[1:] >= place
+        of[self.begins[:-1]] = place
+        return np.insert(keys, place, start), of
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, np.diff(self.begins))
@@ -114,7 +124,7 @@ def _ask_counts(order: int, shards: int):
                 block = read_block(row)
                 training = block.training()
                 for level in range(1, order + 1):
-                    keys, at = np.unique(block.grams(level)[0], return_inverse=True)
+                    keys, at = block.grams(level)
                     n = np.bincount(at[training], minlength=len(keys))
                     yield ex.ask_batch(list(ex.asks(level, row["block"], keys, [n.astype(np.uint32)], shards)))
 
@@ -203,23 +213,22 @@ class Totals:
 
 
 def _log_probabilities(block: Block, replies: list[dict], totals: list[Totals], order: int):
-    """Per token its log10 probability by the model of ``order``, and its word's training count."""
+    """Per token its log10 probability by the model of ``order``, and its word's training count; the n-grams of that order."""
     count = ex.reply_column(replies, 1, 0, np.int64) >> 1
     first = totals[0]
     with np.errstate(divide="ignore"):
         by_word = np.log10(np.where(count > 0, first.kept(count) / first.denominator, first.unknown))
-    _, at = np.unique(block.grams(1)[0], return_inverse=True)
+    keys, at = block.grams(1)
     score, known = by_word[at], count[at]
     for level in range(2, order + 1):
-        ending, before = block.grams(level)
-        keys, at = np.unique(ending, return_inverse=True)
-        contexts, of = np.unique(before, return_inverse=True)
+        _, of = block.contexts(level, keys, at)
+        keys, at = block.grams(level)
         seen = (ex.reply_column(replies, level, 0, np.int64) >> 1)[at]
         total, weight = (ex.reply_column(replies, _WEIGHTS + level, k, np.float64)[of] for k in (0, 1))
         with np.errstate(divide="ignore"):
             direct = np.log10(totals[level - 1].kept(seen) / total)
         score = np.where(seen > 0, direct, weight + score)
-    return score, known
+    return score, known, keys, at
 
 
 def _ask_weights(level: int, totals, shards: int):
@@ -228,13 +237,14 @@ def _ask_weights(level: int, totals, shards: int):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block, replies = read_block(row), row["replies"]
-                score, _ = _log_probabilities(block, replies, totals.value, level - 1)
-                ending, before = block.grams(level)
-                _, first = np.unique(ending, return_index=True)
+                score, _, keys, at = _log_probabilities(block, replies, totals.value, level - 1)
+                contexts, of = block.contexts(level, keys, at)
+                keys, at = block.grams(level)
+                first = np.empty(len(keys), np.int64)
+                first[at] = np.arange(len(at))  # any place of the n-gram will do
                 reply = ex.reply_column(replies, level, 0, np.int64)
                 own = reply & 1 == 1
                 count, place = reply[own] >> 1, first[own]
-                contexts, of = np.unique(before, return_inverse=True)
                 sums = [np.bincount(of[place], weights=w, minlength=len(contexts)) for w in (
                     count, totals.value[level - 1].kept(count), 10.0 ** score[place])]
                 yield ex.ask_batch(list(ex.asks(_WEIGHTS + level, row["block"], contexts, sums, shards)))
@@ -249,7 +259,7 @@ def _scores(order: int, totals):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block, first = read_block(row), totals.value[0]
-                score, known = _log_probabilities(block, row["replies"], totals.value, order)
+                score, known, _, _ = _log_probabilities(block, row["replies"], totals.value, order)
                 base = np.log10((known + 1) / (first.tokens + first.types + 1))
                 starts, n = block.begins[:-1], len(row["ids"])
                 yield pa.RecordBatch.from_arrays([
