@@ -139,7 +139,7 @@ def test_bad_recognizers():
 
 def test_size_limit(spark):
     row = with_spans(texts(spark, "A" * 200), max_chars=100).first()
-    assert "too large (200 chars)" in row["error"] and row["spans"] is None
+    assert "too large: 200 characters" in row["error"] and row["spans"] is None
     assert with_spans(texts(spark, "A" * 100), max_chars=100).first()["error"] is None
     assert with_spans(texts(spark, "A" * 200), max_chars=0).first()["error"] is None
 

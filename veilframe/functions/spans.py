@@ -18,64 +18,62 @@ _NO_HITS = "cast(array() as array<struct<start:int,end:int,text:string>>)"
 
 
 BLOCK = 64
+HIT_TYPE = "struct<start:int,end:int,text:string>"
 
 
-def prefixes(values: str, larger: bool = False) -> str:
-    """For each value the sum (or with ``larger`` the maximum) of those before it, 0 for the first.
+def gathered(values: str, kind: str, make: str, advance: str) -> str:
+    """One fold over ``values`` that carries a whole number ``acc.at`` from 0 on and gathers ``make`` for each value ``v``.
 
-    In two levels, blocks and values within them: appending to an array copies it, so one fold over
-    all values would take time in proportion to the square of their number.
+    What is gathered goes into blocks: appending to an array copies it, so one growing array
+    would take time in proportion to the square of its length.
     """
-    step = "greatest(acc.at, v)" if larger else "acc.at + v"
-    total = f"aggregate(blk, 0, (t, v) -> {'greatest(t, v)' if larger else 't + v'})"
-    fold = (
-        "aggregate({0}, struct({1} as at, cast(array() as array<int>) as done), (acc, v) -> "
-        f"struct({step} as at, array_append(acc.done, acc.at) as done), acc -> acc.done)"
+    return (
+        f"aggregate({values}, struct(0 as at, cast(array() as array<{kind}>) as cur, "
+        f"cast(array() as array<array<{kind}>>) as done), (acc, v) -> struct({advance} as at, "
+        f"if(size(acc.cur) < {BLOCK}, array_append(acc.cur, {make}), array({make})) as cur, "
+        f"if(size(acc.cur) < {BLOCK}, acc.done, array_append(acc.done, acc.cur)) as done), "
+        "acc -> flatten(array_append(acc.done, acc.cur)))"
     )
 
-    def joined(blocks: str) -> str:
-        starts = fold.format(f"transform({blocks}, blk -> {total})", "0")
-        return f"flatten(zip_with({blocks}, {starts}, (blk, from_) -> {fold.format('blk', 'from_')}))"
 
-    def cut(v: str) -> str:
-        blocks = f"transform(sequence(1, size({v}), {BLOCK}), b -> slice({v}, b, {BLOCK}))"
-        return (
-            f"if(size({v}) = 0, cast(array() as array<int>), if(size({v}) <= {BLOCK}, "
-            f"{fold.format(v, '0')}, {let('blocks', blocks, joined)}))"
-        )
+def prefixes(values: str, larger: bool = False) -> str:
+    """For each value the sum (or with ``larger`` the maximum) of those before it, 0 for the first."""
+    return gathered(values, "int", "acc.at", "greatest(acc.at, v)" if larger else "acc.at + v")
 
-    return let("vals", values, cut)
 
+def matches(text: str, pattern: str, *facts: str) -> str:
+    """Every match of ``pattern`` and the text between matches: ``struct<..facts, hits, gaps>``.
 
-def match_offsets(text: str, pattern: str) -> str:
-    """Every match of ``pattern`` that is not empty, with its offsets.
-
-    The text between matches and the matches alternate, so running sums of their lengths give the
-    offsets.  The text after the last match pairs with no match.  Only rows with a match are
-    split.  ``split`` compiles its pattern anew for every row, so the matches are first replaced by
-    one control character (that pattern is compiled once) and the text is cut there; a text that
-    holds the character itself is split by the pattern.
+    Only rows with a match are split.  ``split`` compiles its pattern anew for every row, so the matches are
+    first replaced by one control character (that pattern is compiled once) and the text is cut there; a
+    text that holds the character itself is split by the pattern.
     """
     gaps = (
         f"if(contains({text}, {_MARK}), split({text}, {lit(pattern)}, -1), "
         f"split(regexp_replace({text}, {lit(pattern)}, {_MARK}), {_MARK}, -1))"
     )
+    return let(
+        "found", f"regexp_extract_all({text}, {lit(pattern)}, 0)",
+        lambda f: f"struct({', '.join((*facts, f'{f} as hits'))}, if(size({f}) > 0, {gaps}, cast(null as array<string>)) as gaps)",
+    )
+
 
-    def place(pairs: str) -> str:
-        before = prefixes(f"transform({pairs}, p -> p.gap + char_length(p.hit))")
-        return (
-            f"filter(zip_with({pairs}, {before}, (p, at) -> struct(at + p.gap as start, "
-            "at + p.gap + char_length(p.hit) as end, p.hit as text)), h -> h.end > h.start)"
-        )
-
-    def locate(found: str) -> str:
-        pairs = (
-            f"filter(zip_with({gaps}, {found}, (gap, hit) -> struct(char_length(gap) as gap, "
-            "hit as hit)), p -> p.hit is not null)"
-        )
-        return f"if(size({found}) > 0, {let('pairs', pairs, place)}, {_NO_HITS})"
-
-    return let("found", f"regexp_extract_all({text}, {lit(pattern)}, 0)", locate)
+def placed(hits: str, gaps: str, kind: str = HIT_TYPE, facts: str = "", base: str = "0") -> str:
+    """``array<struct<..facts, start, end, text>>`` of matches; empty ones have ``end = start``.
+
+    The text between matches and the matches alternate, so a running sum of their lengths gives the offsets.
+    """
+    pairs = f"zip_with(slice({gaps}, 1, size({hits})), {hits}, (gap, hit) -> struct(char_length(gap) as gap, hit as hit))"
+    make = (
+        f"struct({facts}{base} + acc.at + v.gap as start, {base} + acc.at + v.gap + char_length(v.hit) as end, v.hit as text)"
+    )
+    return gathered(pairs, kind, make, "acc.at + v.gap + char_length(v.hit)")
+
+
+def match_offsets(text: str, pattern: str) -> str:
+    """Every match of ``pattern`` that is not empty, with its offsets."""
+    return let("m", matches(text, pattern), lambda m: (
+        f"if(size({m}.hits) > 0, filter({placed(f'{m}.hits', f'{m}.gaps')}, h -> h.end > h.start), {_NO_HITS})"))
 
 
 def entity_types(spans: str) -> str:

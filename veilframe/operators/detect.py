@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import NO_SPANS, match_offsets, prefixes, resolve_overlaps
+from veilframe.functions.spans import NO_SPANS, gathered, matches, placed, resolve_overlaps
 from veilframe.functions.sqltext import ident, let, lit, lits
 from veilframe.operators.recognizers import (
     CONTEXT_CHARS,
@@ -34,50 +34,70 @@ def _context(text: str, start: str, lead: str | None) -> str:
     )
 
 
-def _recognizer_spans(
-    r: Recognizer, text: str, threshold: float, lead: str | None, whole: str, base: str, gated: bool
+_FOUND = "array<struct<k:int,base:int,hits:array<string>,gaps:array<string>>>"
+
+
+def _matches_in(members: Sequence[tuple[int, Recognizer]], text: str, base: str, gated: bool) -> str:
+    """What each recognizer's patterns match in ``text``, which starts at ``base``; offsets are worked out later."""
+    def one(k: int, r: Recognizer, pattern: str) -> str:
+        found = matches(text, pattern, f"{k} as k", f"{base} as base")
+        return f"if({r.needs(text)}, {found}, null)" if r.needs and gated else found
+
+    each = [one(k, r, p) for k, r in members for p in r.regexes]
+    return f"filter(array({', '.join(each)}), x -> size(x.hits) > 0)"
+
+
+def _spans_of(
+    found: str, chosen: Sequence[Recognizer], threshold: float, lead: str | None, whole: str
 ) -> str:
-    """Spans of one recognizer in ``text``, a part of ``whole`` that starts at ``base``."""
-    hits = [match_offsets(text, p) for p in r.regexes]
-    found = hits[0] if len(hits) == 1 else f"array_distinct(concat({', '.join(hits)}))"
-    if r.refine is not None:
-        found = (
-            f"flatten(transform({found}, h -> transform({r.refine('h.text')}, r -> struct(h.start + r.at as "
-            "start, h.start + r.at + char_length(r.text) as end, r.text as text))))"
+    """Matches of all recognizers as spans.  Every step is written once for all of them: the number ``k`` of a
+    match's recognizer picks its type, score, checks and context words."""
+    where = placed("x.hits", "x.gaps", "struct<k:int,start:int,end:int,text:string>", "x.k as k, ", "x.base")
+    hits = f"flatten(transform({found}, x -> {where}))"
+    refined = {k: r.refine for k, r in enumerate(chosen) if r.refine}
+    if refined:
+        cases = " ".join(f"when {k} then {f('h.text')}" for k, f in refined.items())
+        hits = (
+            f"flatten(transform({hits}, h -> transform(case h.k {cases} else array(struct(0 as at, h.text as text)) end, r -> "
+            "struct(h.k as k, h.start + r.at as start, h.start + r.at + char_length(r.text) as end, r.text as text))))"
         )
-    if r.check is not None:
-        found = f"filter({found}, h -> {r.check('h.text')})"
-    score = f"{round(r.score, 4)}D"
-    if r.context_words:
+    checks = {k: r.check for k, r in enumerate(chosen) if r.check}
+    cases = " ".join(f"when {k} then {f('h.text')}" for k, f in checks.items())
+    valid = f" and case h.k {cases} else true end" if checks else ""
+    hits = f"filter({hits}, h -> h.end > h.start{valid})"
+    if any(len(r.patterns) > 1 for r in chosen):
+        hits = f"array_distinct({hits})"
+    score = _by_number(f"{round(r.score, 4)}D" for r in chosen)
+    context = {k: r for k, r in enumerate(chosen) if r.context_words}
+    if context:
+        words = " ".join(f"when {k} then array({lits(w.lower() for w in r.context_words)})" for k, r in context.items())
         near = let(
-            "before",
-            f"lower({_context(whole, f'(h.start + {base})', lead)})",
-            lambda b: f"exists(array({lits(w.lower() for w in r.context_words)}), "
-            f"w -> contains({b}, w))",
+            "before", f"lower({_context(whole, 'h.start', lead)})",
+            lambda b: f"exists(case h.k {words} end, w -> contains({b}, w))",
         )
-        score = f"if({near}, {round(r.max_score, 4)}D, {score})"
+        high = " ".join(f"when {k} then {round(r.max_score, 4)}D" for k, r in context.items())
+        listed = ", ".join(map(str, context))
+        score = f"if(if(h.k in ({listed}), {near}, false), case h.k {high} end, {score})"
+    kind = _by_number(lit(r.entity_type) for r in chosen)
     spans = (
-        f"transform({found}, h -> struct(h.start + {base} as start, h.end + {base} as end, "
-        f"{lit(r.entity_type)} as entity_type, {score} as score, h.text as text))"
+        f"transform({hits}, h -> struct(h.start as start, h.end as end, {kind} as entity_type, "
+        f"{score} as score, h.text as text))"
     )
-    if r.score < threshold:
+    if any(r.score < threshold for r in chosen):
         spans = f"filter({spans}, s -> s.score >= {threshold}D)"
-    return f"if({r.needs(text)}, {spans}, {NO_SPANS})" if r.needs and gated else spans
+    return f"if(size({found}) = 0, {NO_SPANS}, {spans})"
 
 
-def _lines_with(text: str, test: Callable[[str], str]) -> str:
-    """Where to look: a short text as a whole, of a long one only the lines that pass ``test``."""
-    def placed(lines: str) -> str:
-        starts = prefixes(f"transform({lines}, ln -> char_length(ln) + 1)")
-        return (
-            f"filter(zip_with({lines}, {starts}, (ln, at) -> struct(at as base, ln as line)), "
-            f"part -> {test('part.line')})"
-        )
+def _by_number(values: Iterable[str]) -> str:
+    listed = list(values)
+    return listed[0] if len(set(listed)) == 1 else f"array({', '.join(listed)})[h.k]"
 
-    lines = let("lines", f"split({text}, '\\n', -1)", placed)
-    return (
-        f"if(char_length({text}) <= {WHOLE_CHARS}, array(struct(0 as base, {text} as line)), {lines})"
-    )
+
+def _lines(text: str) -> str:
+    """The lines of a text with their starts."""
+    return gathered(
+        f"split({text}, '\\n', -1)", "struct<base:int,line:string>", "struct(acc.at as base, v as line)",
+        "acc.at + char_length(v) + 1")
 
 
 def spans_sql(
@@ -106,46 +126,53 @@ def spans_sql(
     per_row = language_col is not None
     chosen = registry.select(wanted, None if per_row else language, score_threshold)
 
-    groups: dict[tuple, list[Recognizer]] = {}
-    for r in chosen:
+    groups: dict[tuple, list[tuple[int, Recognizer]]] = {}
+    for k, r in enumerate(chosen):
         key = (r.gate if gated else None, r.languages if per_row else (), r.headed)
-        groups.setdefault(key, []).append(r)
+        groups.setdefault(key, []).append((k, r))
 
     def build(t: str) -> str:
-        parts = []
-        for (gate, languages, headed), members in groups.items():
-            tests = [f"{ident(language_col)} in ({lits(languages)})"] if languages else []
+        tests, parts, by_line = [], [], []
+        for i, ((gate, languages, headed), members) in enumerate(groups.items()):
+            wants = [f"{ident(language_col)} in ({lits(languages)})"] if languages else []
             if gate:
-                tests.append(GATES[gate](t))
+                wants.append(GATES[gate](t))
             narrow = GATES[gate] if gate else None
             if gated and headed and len(members) > 1:
-                shared = lit(any_of(p for r in members for p in r.patterns))
+                shared = lit(any_of(p for _, r in members for p in r.patterns))
                 narrow = lambda text, shared=shared: f"{text} rlike {shared}"
-                tests.append(narrow(t))
-
-            def found_in(text: str, base: str, members=members) -> str:
-                each = [
-                    _recognizer_spans(r, text, score_threshold, lead, t, base, gated) for r in members
-                ]
-                return each[0] if len(each) == 1 else f"concat({', '.join(each)})"
-
-            if narrow and headed and all(r.line_bounded for r in members):
-                where = _lines_with(t, narrow)
-                part = f"flatten(transform({where}, part -> {found_in('part.line', 'part.base')}))"
+                wants.append(narrow(t))
+            tests.append(" and ".join(wants) or "true")
+            if narrow and headed and all(r.line_bounded for _, r in members):
+                by_line.append(i)
+                part = (
+                    f"flatten(transform(filter(lns, ln -> size(lns) = 1 or {narrow('ln.line')}), ln -> "
+                    f"{_matches_in(members, 'ln.line', 'ln.base', gated)}))"
+                )
             else:
-                part = found_in(t, "0")
-            parts.append(f"if({' and '.join(tests)}, {part}, {NO_SPANS})" if tests else part)
+                part = _matches_in(members, t, "0", gated)
+            parts.append(f"if(on[{i}], {part}, cast(array() as {_FOUND}))")
+        spans = []
+        if parts:
+            # A short text is searched as a whole, a long one only in lines that pass the group's test.
+            cut = f"char_length({t}) > {WHOLE_CHARS} and ({' or '.join(f'on[{i}]' for i in by_line)})"
+            whole = f"array(struct(0 as base, {t} as line))"
+            lines = f"if({cut}, {_lines(t)}, {whole})" if by_line else whole
+            every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+            found = let("on", f"array({', '.join(tests)})", lambda on: (
+                f"if(exists({on}, o -> o), {let('lns', lines, lambda _: every)}, cast(array() as {_FOUND}))"))
+            spans.append(let("all", found, lambda f: _spans_of(f, chosen, score_threshold, lead, t)))
         for name in extra_span_cols:
             named = "" if wanted is None else f" and s.entity_type in ({lits(wanted)})"
-            parts.append(
+            spans.append(
                 f"transform(filter(coalesce({ident(name)}, {NO_SPANS}), "
                 f"s -> s.score >= {score_threshold}D{named}), s -> struct(s.start as start, "
                 "s.end as end, s.entity_type as entity_type, round(s.score, 4) as score, "
                 "s.text as text))"
             )
-        if not parts:
+        if not spans:
             return NO_SPANS
-        found = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+        found = spans[0] if len(spans) == 1 else f"concat({', '.join(spans)})"
         return resolve_overlaps(found) if resolve else f"array_sort({found})"
 
     return let("body", text, build)
