@@ -39,7 +39,7 @@ from veilframe.llm.csr import Csr, from_entries, incidence, product, times_vecto
 from veilframe.llm.flat import flat, stretches, unflat
 from veilframe.llm.words import mixed, slices
 
-BLOCK_BYTES, ENCODE_BATCH, STRIP = 4 << 20, 64, 1 << 19
+BLOCK_BYTES, ENCODE_BATCH, STRIP = 4 << 20, 64, 1 << 18
 #: Chunks that are encoded as one text where the cut between them is sound.
 TOGETHER = 64
 #: Ids of either side fit in this many bits, which leaves 16 to deal pairs to shards evenly.
@@ -244,10 +244,8 @@ def cut_texts(texts: pa.Array, cuts: bool) -> tuple[np.ndarray, np.ndarray, np.n
     """(bytes, where chunks begin, first chunk of each text): a space and the text, cut before every space that stands
     between characters which no rule of a vocabulary can take for white space."""
     data, begins = flat(texts)
-    spaced = np.empty(len(data) + len(texts), np.uint8)
+    spaced = np.insert(data, begins[:-1], np.uint8(0x20))
     own = begins[:-1] + np.arange(len(texts))
-    spaced[own] = 0x20
-    spaced[np.arange(len(data)) + np.repeat(np.arange(len(texts)), np.diff(begins)) + 1] = data
     border = np.zeros(len(spaced), bool)
     if cuts and len(spaced) > 2:
         plain = (spaced > 0x20) & (spaced < 0x7F)
@@ -300,7 +298,7 @@ def _block(sides: Sides, ids: list, texts: pa.Array) -> dict:
         "n_pairs": len(pairs), "ids": ids, "sha": sha, "facts": [times_vector(by_chunk, f).tolist() for f in facts],
         "doc_begins": ex.planes(begins), "doc_chunks": ex.planes(chunks.astype(np.int32)),
         "chunk_begins": ex.planes(by_pair.begins.astype(np.int64)), "chunk_pairs": ex.planes(number.astype(np.int32)),
-        "chunk_links": ex.planes(links), "pairs": ex.sorted_planes(pairs), "pair_docs": ex.planes(docs),
+        "chunk_links": ex.planes(links.astype(np.int32)), "pairs": ex.sorted_planes(pairs), "pair_docs": ex.planes(docs),
     }
 
 
@@ -318,6 +316,8 @@ def _blocks(byte_json, piece_model):
                 row = _block(sides, batch.column(0).to_pylist(), batch.column(1)) | {"block": ex.block_number(turn)}
                 turn += 1
                 yield pa.RecordBatch.from_pylist([row], schema)
+                del row
+                ex.give_back()
 
     return blocks
 
@@ -354,7 +354,7 @@ def _facts(highest):
                 if len(count) != len(pairs):
                     raise ValueError("a block did not get an answer for each of its pairs")
                 by_pair = Csr(ex.from_planes(row["chunk_begins"], np.int64), ex.from_planes(row["chunk_pairs"], np.int32),
-                              ex.from_planes(row["chunk_links"], np.int64), len(pairs))
+                              ex.from_planes(row["chunk_links"], np.int32).astype(np.int64), len(pairs))
                 begins, chunks = ex.from_planes(row["doc_begins"], np.int64), ex.from_planes(row["doc_chunks"], np.int32)
                 by_chunk = incidence(begins, chunks, by_pair.rows)
                 best = times_vector(by_chunk, times_vector(by_pair, (count == top[a_of(pairs)]).astype(np.int64)))
@@ -362,6 +362,7 @@ def _facts(highest):
                 columns = [row["ids"], *row["facts"], best, total]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, pa.int64()) for c in columns), pa.array(row["sha"], pa.string())], names)
+            ex.give_back()
 
     return facts
 

@@ -30,8 +30,8 @@ class Csr:
 
 
 def incidence(begins: np.ndarray, columns: np.ndarray, width: int) -> Csr:
-    """A matrix of ones."""
-    return Csr(begins, columns, np.ones(len(columns), np.int64), width)
+    """A matrix of ones, which take no space."""
+    return Csr(begins, columns, np.broadcast_to(np.int64(1), len(columns)), width)
 
 
 def combined(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

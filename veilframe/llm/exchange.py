@@ -9,8 +9,10 @@ arrays of bytes, highest bytes together, which compress far better than rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,18 @@ ASK = "kind int, shard long, block long, keys binary, values array<binary>"
 REPLY = "block long, kind int, shard long, values array<binary>, stats array<double>"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold its last block's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+@cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
 def block_number(turn: int) -> int:
     """A number that no other block of the job has: the task's and the block's within it."""
     context = TaskContext.get()

@@ -112,6 +112,7 @@ def _blocks(order: int):
                     "block": ex.block_number(turn), "entries": order * len(b.tokens), "ids": batch.column(0).to_pylist(), "held": b.held.tolist(),
                     "begins": ex.planes(b.begins), "tokens": ex.planes(b.tokens), "words": ex.sorted_planes(b.words)}], schema)
                 turn += 1
+                ex.give_back()
 
     return blocks
 
@@ -127,6 +128,7 @@ def _ask_counts(order: int, shards: int):
                     keys, at = block.grams(level)
                     n = np.bincount(at[training], minlength=len(keys))
                     yield ex.ask_batch(list(ex.asks(level, row["block"], keys, [n.astype(np.uint32)], shards)))
+                ex.give_back()
 
     return ask
 
@@ -248,6 +250,7 @@ def _ask_weights(level: int, totals, shards: int):
                 sums = [np.bincount(of[place], weights=w, minlength=len(contexts)) for w in (
                     count, totals.value[level - 1].kept(count), 10.0 ** score[place])]
                 yield ex.ask_batch(list(ex.asks(_WEIGHTS + level, row["block"], contexts, sums, shards)))
+                ex.give_back()
 
     return ask
 
@@ -266,6 +269,7 @@ def _scores(order: int, totals):
                     pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(block.begins)),
                     pa.array(np.add.reduceat((known > 0).astype(np.int64), starts)), pa.array(np.full(n, first.tokens, np.int64)),
                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))], names)
+                ex.give_back()
 
     return scores
 
