@@ -123,7 +123,10 @@ def answered(asked: DataFrame, answer: Callable[[int, Shard], tuple], purpose: s
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                         names=["block", "kind", "shard", "values", "stats"])
 
-    return written(asked.groupBy("kind", "shard").applyInArrow(reply, REPLY), purpose)
+    replies = written(asked.groupBy("kind", "shard").applyInArrow(reply, REPLY), purpose)
+    # Spark deletes the shuffle files of finished jobs when the driver collects its garbage; the asks are no longer needed.
+    asked.sparkSession._jvm.System.gc()
+    return replies
 
 
 def sums(replies: DataFrame, kind: int, length: int) -> list[float]:
