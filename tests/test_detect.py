@@ -184,6 +184,14 @@ def test_regex_runs_once_per_recognizer(docs):
     assert plan.count("regexp_extract_all") == len(builtin_recognizers())
 
 
+def test_reports_scan_once(docs):
+    from veilframe.plans import jobs
+
+    for out in (jobs.dashboard(docs, "text", "lang", max_chars=10_000), jobs.column_profile(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("regexp_extract_all") == len(builtin_recognizers())
+
+
 def _brute_force(spans):
     kept = []
     for s in sorted(spans, key=lambda s: (-s[3], s[0] - s[1], s[0], s[2])):

@@ -83,11 +83,24 @@ def test_long_texts_in_reports(spark, docs):
     assert {r["entity_type"] for r in jobs.column_profile(frame, ["text"], max_chars=1000).collect()} == {"EMAIL_ADDRESS", None}
 
 
-def test_console_shows_all(spark, capsys):
-    frame = spark.range(45).selectExpr("cast(id as string) as audit_id", "'a' as action", "'PUBLIC' as classification",
-                                       "0 as entities_found", "0 as entities_anonymized")
+def test_console_lines_come_from_the_tasks(spark, tmp_path):
+    frame = spark.range(0, 45, numPartitions=3).selectExpr("cast(id as string) as audit_id", "'a' as action", "if(id = 7, null, 'PUBLIC') as classification",
+                                                           "0 as entities_found", "0 as entities_anonymized")
+
+    def emit(rows):
+        import os
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text("".join(f"{os.getpid()} {r['line']}\n" for r in rows))
+
+    ConsoleSink("warn", emit).write(frame)
+    lines = [line.split(" ", 1) for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert len(list(tmp_path.iterdir())) == 3 and len(lines) == 45
+    import os
+
+    assert str(os.getpid()) not in {pid for pid, _ in lines}
+    assert "WARN audit_id=7 action=a classification=None entities_found=0 entities_anonymized=0" in {line for _, line in lines}
     ConsoleSink().write(frame)
-    assert len(capsys.readouterr().out.splitlines()) == 45
 
 
 def test_results_never_hide_input(spark):
@@ -141,7 +154,11 @@ def test_null_sections_and_conditions():
     assert GovernancePolicy.from_mapping(empty) == GovernancePolicy()
     assert AlertRule("a", " classification ==  HIGH ").parsed() == ("classification", "HIGH")
     assert AlertRule("a", "entities_found > 3").parsed() == ("entities_found", 3)
-    assert AlertRule("a", "not classification == HIGH").parsed() is None
+    assert AlertRule("a", "if classification == RESTRICTED").parsed() == ("classification", "RESTRICTED")
+    assert AlertRule("a", "when entities_found > +1_0").parsed() == ("entities_found", 10)
+    assert AlertRule("a", "classification == A or entities_found > 2").parsed() == ("classification", "A or entities_found > 2")
+    assert AlertRule("a", "classification == A == B").parsed() == ("classification", "B")
+    assert AlertRule("a", "classification==RESTRICTED").parsed() is None and AlertRule("a", "").parsed() is None
     policy = GovernancePolicy(alerts=(AlertRule("a", "entities_found > 3"),))
     assert GovernancePolicy.from_dict(policy.as_dict()) == policy
 

@@ -21,24 +21,37 @@ BLOCK = 64
 HIT_TYPE = "struct<start:int,end:int,text:string>"
 
 
-def gathered(values: str, kind: str, make: str, advance: str) -> str:
-    """One fold over ``values`` that carries a whole number ``acc.at`` from 0 on and gathers ``make`` for each value ``v``.
+def gathered(values: str, kind: str, make: str, advance: Callable[[str], str]) -> str:
+    """A fold over ``values`` that carries a whole number ``acc.at`` from 0 on and gathers ``make`` for each value ``v``.
 
-    What is gathered goes into blocks: appending to an array copies it, so one growing array
-    would take time in proportion to the square of its length.
+    ``advance`` gives the next number from the present one.  More than a block of values go in two levels, blocks and values
+    within them: what a fold carries is copied at every step, so one fold that gathers all values would take
+    time in proportion to the square of their number.
     """
-    return (
-        f"aggregate({values}, struct(0 as at, cast(array() as array<{kind}>) as cur, "
-        f"cast(array() as array<array<{kind}>>) as done), (acc, v) -> struct({advance} as at, "
-        f"if(size(acc.cur) < {BLOCK}, array_append(acc.cur, {make}), array({make})) as cur, "
-        f"if(size(acc.cur) < {BLOCK}, acc.done, array_append(acc.done, acc.cur)) as done), "
-        "acc -> flatten(array_append(acc.done, acc.cur)))"
-    )
+    def fold(over: str, start: str, kind: str = kind, make: str = make, step: str = advance("acc.at")) -> str:
+        return (
+            f"aggregate({over}, struct({start} as at, cast(array() as array<{kind}>) as done), (acc, v) -> "
+            f"struct({step} as at, array_append(acc.done, {make}) as done), acc -> acc.done)"
+        )
+
+    def joined(blocks: str) -> str:
+        # Both kinds of carried number (sums, maxima) are carried on from block to block like from value to value.
+        starts = (
+            f"aggregate({blocks}, struct(0 as at, cast(array() as array<int>) as done), (acc, blk) -> struct("
+            f"aggregate(blk, acc.at, (t, v) -> {advance('t')}) as at, array_append(acc.done, acc.at) as done), acc -> acc.done)"
+        )
+        return f"flatten(zip_with({blocks}, {starts}, (blk, from_) -> {fold('blk', 'from_')}))"
+
+    def cut(v: str) -> str:
+        blocks = f"transform(sequence(1, size({v}), {BLOCK}), b -> slice({v}, b, {BLOCK}))"
+        return f"if(size({v}) <= {BLOCK}, {fold(v, '0')}, {let('blocks', blocks, joined)})"
+
+    return let("vals", values, cut)
 
 
 def prefixes(values: str, larger: bool = False) -> str:
     """For each value the sum (or with ``larger`` the maximum) of those before it, 0 for the first."""
-    return gathered(values, "int", "acc.at", "greatest(acc.at, v)" if larger else "acc.at + v")
+    return gathered(values, "int", "acc.at", lambda at: f"greatest({at}, v)" if larger else f"{at} + v")
 
 
 def matches(text: str, pattern: str, *facts: str) -> str:
@@ -67,7 +80,7 @@ def placed(hits: str, gaps: str, kind: str = HIT_TYPE, facts: str = "", base: st
     make = (
         f"struct({facts}{base} + acc.at + v.gap as start, {base} + acc.at + v.gap + char_length(v.hit) as end, v.hit as text)"
     )
-    return gathered(pairs, kind, make, "acc.at + v.gap + char_length(v.hit)")
+    return gathered(pairs, kind, make, lambda at: f"{at} + v.gap + char_length(v.hit)")
 
 
 def match_offsets(text: str, pattern: str) -> str:

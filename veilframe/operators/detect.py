@@ -97,7 +97,7 @@ def _lines(text: str) -> str:
     """The lines of a text with their starts."""
     return gathered(
         f"split({text}, '\\n', -1)", "struct<base:int,line:string>", "struct(acc.at as base, v as line)",
-        "acc.at + char_length(v) + 1")
+        lambda at: f"{at} + char_length(v) + 1")
 
 
 def spans_sql(

@@ -335,6 +335,11 @@ class RecognizerRegistry:
             tuple(r for r in self.recognizers if not (r.custom and r.name == name))
         )
 
+    def without_types(self, types: Iterable[str]) -> RecognizerRegistry:
+        """Without the recognizers of some entity types, for types that are found otherwise."""
+        gone = set(types)
+        return RecognizerRegistry(tuple(r for r in self.recognizers if r.entity_type not in gone))
+
     def remove(self, name: str) -> tuple[RecognizerRegistry, bool]:
         """The registry without a custom recognizer, and whether there was one."""
         return self.without(name), self.has(name)

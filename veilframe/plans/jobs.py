@@ -101,25 +101,34 @@ def dashboard(
     the texts that a size limit kept from being read (``rows_affected``).
     """
     spanned = with_spans(df, text_col, **settings)
-    spanned = spanned.select(F.col(group_col).alias("_group"), "spans", "error")
-    per_type = type_counts(spanned, ["_group"]).withColumn("level", F.lit(0))
-    grouped = _summed(per_type)
+    facts = [
+        "transform(array_distinct(transform(spans, s -> s.entity_type)), t -> "
+        f"{_fact(0, '_group', 't', 'size(filter(spans, s -> s.entity_type = t))')})"
+    ]
     if totals:
-        # One record per row and total, so that a row counts once whatever types it holds.
-        hit = spanned.where("size(spans) > 0").select(
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("level"), "_group", F.expr("size(spans)").alias("n"))
-        grouped = grouped.unionByName(_summed(hit.select(
-            F.when(F.col("level") == 1, F.col("_group")).alias("_group"), F.lit(None).cast("string").alias("entity_type"), "n", "level")))
-    refused = spanned.where("error is not null").select(
-        "_group", F.lit(None).cast("string").alias("entity_type"), F.lit(0).alias("n"), F.lit(3).alias("level"))
+        each = f"array({_fact(1, '_group', 'null', 'size(spans)')}, {_fact(2, 'null', 'null', 'size(spans)')})"
+        facts.append(f"if(size(spans) > 0, {each}, {_NO_FACTS})")
     if settings.get("max_chars"):
-        grouped = grouped.unionByName(_summed(refused))
-    return grouped.withColumnRenamed("_group", group_col)
+        facts.append(f"if(error is not null, array({_fact(3, '_group', 'null', '0')}), {_NO_FACTS})")
+    # All records of a row come from one explode over its spans, so the text is scanned once.
+    rows = spanned.select(F.col(group_col).alias("_group"), "spans", "error").select(
+        "_group", F.expr(f"explode(flatten(filter(array({', '.join(facts)}), f -> f is not null)))").alias("f"))
+    grouped = rows.select(
+        F.when(F.col("f.grouped"), F.col("_group")).alias(group_col), F.col("f.entity_type").alias("entity_type"),
+        F.col("f.level").alias("level"), F.col("f.n").alias("n")
+    ).groupBy(group_col, "entity_type", "level")
+    return grouped.agg(F.sum("n").alias("entities"), F.count(F.lit(1)).alias("rows_affected"))
 
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("_group", "entity_type", "level").agg(
-        F.sum("n").alias("entities"), F.count(F.lit(1)).alias("rows_affected"))
+_FACT = "struct<level:int,grouped:boolean,entity_type:string,n:int>"
+_NO_FACTS = f"cast(array() as array<{_FACT}>)"
+
+
+def _fact(level: int, group: str, entity_type: str, n: str) -> str:
+    return (
+        f"struct({level} as level, {'false' if group == 'null' else 'true'} as grouped, "
+        f"cast({entity_type} as string) as entity_type, {n} as n)"
+    )
 
 
 def classification_counts(governed: DataFrame, group_col: str) -> DataFrame:

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from veilframe.functions import spans as sp
 from veilframe.functions.sqltext import ident, lit
 from veilframe.functions.text import DEFAULT_MAX_CHARS, size_error
-from veilframe.operators import alerts, anonymize as anon, classify as cls
+from veilframe.operators import alerts, anonymize as anon, classify as cls, gazetteer
 from veilframe.operators.detect import spans_sql
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.operators.recognizers import RecognizerRegistry
-from veilframe.plans.span_tables import collect_spans
+from veilframe.plans.span_tables import collect_spans, term_spans
 
 # A caller's own detector: text column in, span-array column out.
 Detector = Callable[[Column], Column]
@@ -86,7 +86,7 @@ def audit_id_sql(action: str, id_cols: Sequence[str], policy: GovernancePolicy,
 #: Names the calls use for what they work out.
 _OWN = frozenset({
     "spans", "error", "entity_types", "entities_found", "audit_id", "classification", "audit",
-    "operators_applied", "_rewritten", "_scores",
+    "operators_applied", "_rewritten", "_scores", "_found",
 })
 
 
@@ -113,6 +113,7 @@ def with_spans(
     max_chars: int = DEFAULT_MAX_CHARS,
     detectors: Sequence[Detector] = (),
     spans: DataFrame | None = None,
+    names: DataFrame | None = None,
     id_cols: Sequence[str] = (),
     gated: bool = True,
     resolve: bool = True,
@@ -122,7 +123,13 @@ def with_spans(
     ``spans`` is a table of spans found elsewhere (a term list, long texts section by section), joined by
     ``id_cols``, which must identify a text; its spans are settled together with those found here.  With
     ``registry=RecognizerRegistry(())`` they are the only ones.  Rows whose key is NULL get none.
+
+    ``names`` is a table of names (term, entity_type): its types, PERSON and LOCATION say, are found by it instead
+    of by the built-in word lists.  A list of up to 64 MB is broadcast as a trie; a larger one is joined, which
+    needs ``id_cols``.
     """
+    if names is not None:
+        df, registry, detectors, spans = _named(df, text_col, names, registry, detectors, spans, id_cols)
     text = ident(text_col)
     fits = f"char_length({text}) <= {max_chars}" if max_chars > 0 else "true"
     names = []
@@ -137,16 +144,36 @@ def with_spans(
         df = df.join(table, list(id_cols), "left")
     found = spans_sql(
         text, registry, entities=entities, language=language, language_col=language_col,
-        score_threshold=score_threshold, gated=gated, resolve=resolve, extra_span_cols=names,
+        score_threshold=score_threshold, gated=gated, resolve=False, extra_span_cols=names,
     )
     if max_chars > 0:
         found = f"if(char_length({text}) > {max_chars}, cast(null as {sp.SPAN_ARRAY}), {found})"
     # One-row explode: the optimizer does not push a later filter on a derived column below it, so
-    # such a filter cannot make the text be scanned a second time.
+    # such a filter cannot make the text be scanned a second time.  Overlaps are settled in a step of their own:
+    # the analyzer goes over an expression once per level of nesting, so two shallow ones cost less than a deep one.
     once = df.select("*", F.expr(f"explode(array({found}))").alias("spans")).drop(*names)
+    if resolve:
+        kept = F.expr(f"explode(array({sp.resolve_overlaps('_found')}))").alias("spans")
+        once = once.withColumnRenamed("spans", "_found").select("*", kept).drop("_found")
     return once.withColumn("error", F.expr(size_error(text, max_chars)))
 
 
+def _named(
+    df: DataFrame, text_col: str, names: DataFrame, registry: RecognizerRegistry | None,
+    detectors: Sequence[Detector], spans: DataFrame | None, id_cols: Sequence[str],
+) -> tuple[DataFrame, RecognizerRegistry, Sequence[Detector], DataFrame | None]:
+    """What ``with_spans`` works with once the types of a name table are looked up in the table."""
+    kinds = [r["entity_type"] for r in names.select("entity_type").distinct().collect()]
+    registry = (registry or RecognizerRegistry()).without_types(kinds)
+    small = gazetteer.load(names)
+    if small is not None:
+        return df, registry, (*detectors, gazetteer.detector(names, small)), spans
+    if not id_cols:
+        raise ValueError("a name table of this size needs id_cols, the columns that identify a text")
+    found = term_spans(df.dropDuplicates(list(id_cols)), text_col, id_cols, names)
+    return df, registry, detectors, found if spans is None else spans.unionByName(found)
+
+
 def _with_audit(
     df: DataFrame, action: str, policy: GovernancePolicy, ts: AuditTime, changed: bool, text_col: str,
     id_cols: Sequence[str],

@@ -64,10 +64,11 @@ def detect_long(
         parts = parts.repartition(spread, *id_cols, "base")
     found = spans_sql(
         "piece", registry, entities=entities, language=language, score_threshold=score_threshold,
-        lead="lead",
+        lead="lead", resolve=False,
     )
-    spans = F.expr(shifted(found, "base"))
-    return parts.select(*id_cols, F.explode(spans).alias("s")).select(*id_cols, "s.*")
+    raw = parts.select(*id_cols, "base", F.expr(f"explode(array({found}))").alias("found")).where("size(found) > 0")
+    spans = F.expr(shifted(resolve_overlaps("found"), "base"))
+    return raw.select(*id_cols, F.explode(spans).alias("s")).select(*id_cols, "s.*")
 
 
 def term_spans(

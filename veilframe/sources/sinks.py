@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from veilframe.plans.audit import export_columns
@@ -42,15 +42,27 @@ def console_columns(audit: DataFrame) -> DataFrame:
     )
 
 
+def print_lines(rows: Iterator[Row]) -> None:
+    """Print the lines of one partition where its task runs."""
+    for row in rows:
+        print(row["line"], flush=True)
+
+
 class ConsoleSink:
-    """Prints every record as one line; the driver holds one partition of short records at a time."""
+    """Prints every record as one line.  The tasks print, each its own partition, so nothing passes the driver; on a
+    cluster the lines are in the executors' logs.  ``emit`` may put another printer in place."""
+
+    def __init__(self, level: str = "INFO", emit: Callable[[Iterator[Row]], None] = print_lines) -> None:
+        self.level, self.emit = level.upper(), emit
 
-    def __init__(self, level: str = "INFO") -> None:
-        self.level = level.upper()
+    def lines(self, audit: DataFrame) -> DataFrame:
+        """The column ``line``: the level, then name=value for each field; NULL shows as None."""
+        shown = console_columns(audit)
+        fields = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in shown.columns]
+        return shown.select(F.concat_ws(" ", F.lit(self.level), *fields).alias("line"))
 
     def write(self, audit: DataFrame) -> None:
-        for row in console_columns(audit).toLocalIterator():
-            print(self.level, *(f"{k}={v}" for k, v in row.asDict().items()))
+        self.lines(audit).foreachPartition(self.emit)
 
 
 def outbox_rows(governed: DataFrame, id_cols: Iterable[str]) -> DataFrame:
