@@ -46,9 +46,9 @@ def test_chunk_arguments(size, overlap):
 
 
 def test_sections_cover_the_text(docs):
-    for r in docs.select("text", F.expr(tx.sections("text", 200)).alias("cut")).collect():
-        assert "".join(r["text"][c["start"]:c["end"]] for c in r["cut"]) == r["text"]
-        assert all(r["text"][c["start"] - 1] == "\n" for c in r["cut"][1:])
+    for r in docs.select("text", F.expr(tx.sections("text", 200, "\\n")).alias("cut")).collect():
+        assert "".join(r["cut"]) == r["text"]
+        assert all(c[-1] == "\n" and len(c) > 200 for c in r["cut"][:-1])
 
 
 def _rows(frame, *keys):
@@ -65,12 +65,14 @@ def test_long_texts_like_whole_texts(docs, spark, size):
     assert _rows(detect_long(every, "text", ["doc_id"], section_chars=size), "doc_id") == _rows(whole, "doc_id")
 
 
-def test_crossing_patterns_keep_texts_whole(spark):
+def test_patterns_that_cross_lines(spark):
     from veilframe import RecognizerRegistry
 
-    registry = RecognizerRegistry().with_pattern("x", "BLOCK", [r"BEGIN\n.*\nEND"])
-    frame = texts(spark, "a\nBEGIN\nsecret\nEND\nb")
-    assert [r["text"] for r in detect_long(frame, "text", ["id"], section_chars=2, registry=registry).collect()] == ["BEGIN\nsecret\nEND"]
+    registry = RecognizerRegistry().with_pattern("x", "BLOCK", [r"BEGIN\n.*\nEND"]).with_pattern("y", "ANCHORED", ["^q"])
+    frame = texts(spark, "a\nBEGIN\nsecret\nEND\nb " * 30)
+    for entities in (["BLOCK"], ["BLOCK", "ANCHORED"]):
+        out = detect_long(frame, "text", ["id"], section_chars=2, registry=registry, entities=entities)
+        assert [r["text"] for r in out.collect()] == ["BEGIN\nsecret\nEND"] * 30
 
 
 def test_resolve_table_like_rows(docs):

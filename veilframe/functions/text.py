@@ -40,21 +40,13 @@ def chunks(text: str, max_chunk_size: int = 5000, overlap: int = 200) -> str:
     )
 
 
-def sections(text: str, target: int) -> str:
-    """Line-aligned sections of about ``target`` characters: ``array<struct<start, end>>``.
+def sections(text: str, target: int, cut: str) -> str:
+    """The text in sections of ``target`` characters and what comes before the next cut: ``array<string>``.
 
-    A section starts at 0 or right after a line feed, so a pattern that never matches a line feed
-    cannot reach from one section into the next.  The sections cover the text without gap.
+    ``cut`` is a pattern for the character that ends a section.  One pass of one pattern finds all sections; where no
+    cut is left the rest is one section.
     """
     if target <= 0:
         raise ValueError("section size must be positive")
-    size = f"char_length({text})"
-    marks = f"sequence({target}, greatest({size} - 1, {target}), {target})"
-    inner = (
-        f"filter(transform({marks}, m -> locate('\\n', {text}, m)), p -> p > 0 and p < {size})"
-    )
-    starts = f"concat(array(0), array_distinct({inner}))"
-    return (
-        f"transform(array({starts}), b -> zip_with(b, concat(slice(b, 2, size(b)), array({size})),"
-        " (f, e) -> struct(f as start, e as end)))[0]"
-    )
+    whole = f"(?s).{{{target}}}.*?(?:{cut})|.+"
+    return f"if(char_length({text}) <= {target}, array({text}), regexp_extract_all({text}, {lit(whole)}, 0))"

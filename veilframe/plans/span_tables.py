@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import NO_SPANS, SPAN_TYPE, match_offsets, resolve_overlaps, shifted
+from veilframe.functions.cuts import safe_cut
+from veilframe.functions.spans import NO_SPANS, SPAN_TYPE, gathered, match_offsets, resolve_overlaps, shifted
 from veilframe.functions.sqltext import ident
 from veilframe.functions.text import sections
 from veilframe.operators.detect import spans_sql
-from veilframe.operators.recognizers import CONTEXT_CHARS, RecognizerRegistry
+from veilframe.operators.recognizers import CONTEXT_CHARS, Recognizer, RecognizerRegistry
 
 # A term's words: letters of any script, digits and the marks names are written with.
 TOKEN = r"[\p{L}\p{N}_#'-]+"
+# No term holds such a character, so texts are cut there.
+OUTSIDE_TERMS = r"[^\p{L}\p{N}_#'\- ]"
 SECTION_CHARS = 5000
 # A term list is broadcast up to this size; each entry is counted with the overhead of a hash row.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -22,19 +25,25 @@ TERM_OVERHEAD = 64
 
 
 def _sectioned(
-    df: DataFrame, text_col: str, id_cols: Sequence[str], section_chars: int | None
+    df: DataFrame, text_col: str, id_cols: Sequence[str], section_chars: int, cut: str | None
 ) -> DataFrame:
     """One row per section: where it starts, its text and the characters before it."""
     t = ident(text_col)
-    cut = sections(t, section_chars) if section_chars else f"array(struct(0 as start, char_length({t}) as end))"
-    pieces = (
-        f"transform({cut}, s -> struct(s.start as base, "
-        f"substring({t}, s.start + 1, s.end - s.start) as piece, "
-        f"substring({t}, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, "
-        f"least(s.start, {CONTEXT_CHARS})) as lead))"
-    )
-    exploded = df.where(f"{t} is not null").select(*id_cols, F.explode(F.expr(pieces)).alias("p"))
-    return exploded.select(*id_cols, "p.*")
+    cuts = sections(t, max(section_chars, CONTEXT_CHARS), cut) if cut else f"array({t})"
+    placed = gathered(
+        "pieces", "struct<base:int,piece:string>", "struct(acc.at as base, v as piece)", lambda at: f"{at} + char_length(v)")
+    cut_up = df.where(f"{t} is not null").select(*id_cols, F.expr(f"explode(array({cuts}))").alias("pieces"))
+    leads = "concat(array(''), transform(slice(pieces, 1, greatest(size(pieces) - 1, 0)), p -> right(p, {})))"
+    pairs = f"zip_with({placed}, {leads.format(CONTEXT_CHARS)}, (p, lead) -> struct(p.base as base, p.piece as piece, lead as lead))"
+    return cut_up.where("size(pieces) > 0").select(*id_cols, F.explode(F.expr(pairs)).alias("p")).select(*id_cols, "p.*")
+
+
+def cut_for(recognizers: Iterable[Recognizer]) -> str | None:
+    """A pattern for the places where a text can be cut without cutting a match of these recognizers; None if there are none."""
+    listed = list(recognizers)
+    cut = safe_cut(p for r in listed for p in r.regexes)
+    # No built-in pattern matches a line feed, whatever else it holds.
+    return cut or ("\\n" if all(r.line_bounded for r in listed) else None)
 
 
 def detect_long(
@@ -51,15 +60,15 @@ def detect_long(
 ) -> DataFrame:
     """The span table of long texts, found section by section; same spans as on the whole text.
 
-    Sections end at line feeds, which no line-bounded recognizer can match, so no span is cut and
-    overlaps settle inside one section.  If a selected recognizer may cross lines, texts stay whole.
+    Sections end where, by the syntax of the selected patterns, no match can cross, so no span is cut and
+    overlaps settle inside one section: for the built-in patterns at line feeds, quotes and brackets, and at blanks
+    before small letters.  Custom patterns take part; if one cannot be read (anchors, Java-only syntax), texts stay whole.
     ``spread`` redistributes the sections over that many partitions, for inputs where a few huge
     texts sit in one.
     """
     registry = registry or RecognizerRegistry()
     chosen = registry.select(entities, language, score_threshold)
-    safe = all(r.line_bounded for r in chosen)
-    parts = _sectioned(df, text_col, id_cols, section_chars if safe else None)
+    parts = _sectioned(df, text_col, id_cols, section_chars, cut_for(chosen))
     if spread:
         parts = parts.repartition(spread, *id_cols, "base")
     found = spans_sql(
@@ -104,7 +113,7 @@ def term_spans(
         told = F.format_string("the term %s has more words than max_words", "term")
         listed = listed.withColumn("term", F.when(words > max_words, F.raise_error(told)).otherwise(F.col("term")))
     small = term_bytes <= BROADCAST_BYTES
-    parts = _sectioned(df, text_col, id_cols, SECTION_CHARS)
+    parts = _sectioned(df, text_col, id_cols, SECTION_CHARS, OUTSIDE_TERMS)
     tokens = parts.select(
         *id_cols, "base", "piece", F.expr(f"explode(array({match_offsets('piece', TOKEN)}))").alias("w")
     )
