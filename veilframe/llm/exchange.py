@@ -123,10 +123,18 @@ def answered(asked: DataFrame, answer: Callable[[int, Shard], tuple], purpose: s
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                         names=["block", "kind", "shard", "values", "stats"])
 
-    replies = written(asked.groupBy("kind", "shard").applyInArrow(reply, REPLY), purpose)
-    # Spark deletes the shuffle files of finished jobs when the driver collects its garbage; the asks are no longer needed.
-    asked.sparkSession._jvm.System.gc()
-    return replies
+    return written_once(asked.groupBy("kind", "shard").applyInArrow(reply, REPLY), purpose)
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written like :func:`written`, its shuffle files deleted as soon as it is; they are not read again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, purpose)
+    finally:
+        conf.set(key, before)
 
 
 def sums(replies: DataFrame, kind: int, length: int) -> list[float]:
