@@ -28,23 +28,73 @@ from veilframe.llm.words import slices
 
 SAMPLE_PAGES, LAYOUTS, STEPS, BATCH, HIDDEN = 400, 600, 240, 32, 20
 PATH_SIZE, WORD_SIZE = 64, 32
-TRAIN_BLOCKS = 80
+#: Blocks times pages that a training step or a reading of pages takes together.
+CELLS = 20_000
 
+# A quotation mark counts at the start of an attribute's value only, as browsers read it.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<|[^<]+", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/<>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]+|=)*+)>|<|[^<]+", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 # Tags within a line of text; all others begin a new block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title textarea select option iframe object svg canvas".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# Elements whose content is text to the parser, whatever it looks like, up to their end tag.
+RAW = frozenset("script style textarea title iframe".split())
+SILENT = frozenset("noscript template select datalist option optgroup object svg math canvas".split())
+# Blocks end these where their end tags are missing.
+LEFT_BY_BLOCKS = frozenset("svg math select datalist option optgroup".split())
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+          "option": {"option"}, "optgroup": {"option", "optgroup"}}
 _NO_P_INSIDE = frozenset("article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+# Words by which containers tell their role, for the made layouts and for reading roles off real ones.
+MAIN_TAGS, OTHER_TAGS = frozenset(("article", "main")), frozenset("nav footer aside header form".split())
+MAIN_WORDS = "content article post entry story body text main".split()
+OTHER_WORDS = {
+    "menu": "nav menu navbar navigation topnav breadcrumb".split(), "header": "header masthead banner top logo".split(),
+    "footer": "footer foot bottom copyright legal".split(), "sidebar": "sidebar aside widget related recommended rail".split(),
+    "notice": "cookie consent notice gdpr alert modal popup".split(), "ad": "ad ads advert sponsor promo sponsored".split(),
+    "form": "form newsletter signup subscribe login search".split(), "comments": "comments comment replies discussion respond disqus".split()}
+_OTHER_MARKS = frozenset(w for words in OTHER_WORDS.values() for w in words)
+
+
+@lru_cache(1 << 16)
+def _own_vector(name: str, marks: tuple[str, ...]) -> np.ndarray:
+    """The hashed vector of an element's tag and its class and id words; many words share the weight of six."""
+    v = np.zeros(PATH_SIZE, np.float32)
+    weight = min(1.0, (6 / len(marks)) ** 0.5) if marks else 0.0
+    for step, share in ((name, 1.0), *(("." + w, weight) for w in marks)):
+        h = zlib.crc32(step.encode("utf-8", "replace"))
+        v[h % PATH_SIZE] += (1 if h >> 16 & 1 else -1) * share
+    return v
+
+
+class Place:
+    """An open element, described by all its ancestors: each adds itself to what its parent knows, so paths are never cut.
+
+    The element and its parent count fully, older ancestors by half.  ``role`` is what the innermost element says
+    that names one (1 main text, 0 other, None unknown); ``silent`` content is not shown.
+    """
+
+    __slots__ = ("name", "own", "vector", "total", "role", "silent")
+
+    def __init__(self, parent: Place | None, name: str, marks: tuple[str, ...] = ()):
+        self.name, self.own = name, _own_vector(name, marks) if name else np.zeros(PATH_SIZE, np.float32)
+        self.vector = self.own if parent is None else self.own + parent.own + 0.5 * (parent.total - parent.own)
+        self.total = self.own if parent is None else parent.total + self.own
+        self.role = None if parent is None else parent.role
+        if name in MAIN_TAGS:
+            self.role = 1
+        if name in OTHER_TAGS or not _OTHER_MARKS.isdisjoint(marks):
+            self.role = 0
+        self.silent = name in SILENT or parent is not None and parent.silent
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    place: Place
     text: str
     linked: int
 
@@ -52,8 +102,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order: character references decoded, white space made one space."""
     out: list[Block] = []
-    names: list[str] = []
-    paths: list[tuple[str, ...]] = [()]
+    open_: list[Place] = [Place(None, "")]
     pieces: list[str] = []
     linked = anchors = 0
     at, end = 0, len(page)
@@ -64,7 +113,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                out.append(Block(paths[-1], text, linked))
+                out.append(Block(open_[-1], text, linked))
         linked = 0
 
     while at < end:
@@ -73,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         name = m.group(2)
         if not name:
             piece = m.group()
-            if piece[0] != "<" or piece == "<":
+            if (piece[0] != "<" or piece == "<") and not open_[-1].silent:
                 pieces.append(piece)
                 if anchors:
                     linked += len(piece)
@@ -83,40 +132,34 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "a":
                 anchors = max(0, anchors - 1) if closing else anchors + 1
-            elif name == "br":
+            elif name == "br" and not open_[-1].silent:
                 pieces.append(" ")
             continue
         flush()
         anchors = 0
         if closing:
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                del names[k:], paths[k + 1:]
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].name == name:
+                    del open_[k:]
+                    break
             continue
-        if name in SILENT:
+        if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if name in VOID or m.group(3).endswith("/"):
             continue
-        while names and (names[-1] in CLOSES.get(name, ()) or names[-1] == "p" and name in _NO_P_INSIDE):
-            names.pop(), paths.pop()
-        marks = [w for v in _NAMES.findall(m.group(3)) for w in _WORD.findall("".join(v).lower())] if m.group(3) else []
-        names.append(name)
-        paths.append((*paths[-1][-24:], name, *("." + w for w in marks[:8])))
+        if name in _NO_P_INSIDE:
+            while open_[-1].silent and any(o.name in LEFT_BY_BLOCKS for o in open_):
+                open_.pop()
+        while len(open_) > 1 and (open_[-1].name in CLOSES.get(name, ()) or open_[-1].name == "p" and name in _NO_P_INSIDE):
+            open_.pop()
+        marks = tuple(w for v in _NAMES.findall(m.group(3)) for w in _WORD.findall("".join(v).lower())) if m.group(3) else ()
+        open_.append(Place(open_[-1], name, marks))
     flush()
     return out
 
 
-@lru_cache(1 << 16)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_SIZE, np.float32)
-    for depth, step in enumerate(reversed(path)):
-        h = zlib.crc32(step.encode())
-        v[h % PATH_SIZE] += (1 if h >> 16 & 1 else -1) * (1.0 if depth < 6 else 0.5)
-    return v
-
-
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
@@ -133,7 +176,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), SIZE), np.float32)
     for i, b in enumerate(page):
         words = b.text.split()
-        x[i, :PATH_SIZE] = _path_vector(b.path)
+        x[i, :PATH_SIZE] = b.place.vector
         x[i, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.bincount([_BUCKETS[w] for w in words], minlength=WORD_SIZE) / np.sqrt(len(words)) / 4
         n = len(b.text)
         x[i, -5:] = (np.log1p(n) / 5, min(1.0, b.linked / n), np.log1p(len(words)) / 4, n > 0 and b.text[-1] in ".!?…\"”", i / len(page))
@@ -212,8 +255,12 @@ class BlockLabeller:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        pages = sorted(pages, key=lambda p: len(p[0]))  # a batch has pages of like length, as many as it has room for
         for step in range(1, steps + 1):
-            chosen = [pages[i] for i in rng.integers(0, len(pages), batch)]
+            first = int(rng.integers(0, len(pages)))
+            longest = len(pages[min(first + batch, len(pages)) - 1][0])
+            near = max(1, min(batch, CELLS // longest))
+            chosen = pages[max(0, min(first, len(pages) - near)):][:near]
             x, mask = _padded([x for x, _ in chosen])
             y = np.zeros_like(mask)
             for n, (_, labels) in enumerate(chosen):
@@ -231,7 +278,7 @@ class BlockLabeller:
         order = sorted((n for n in range(len(pages)) if pages[n]), key=lambda n: len(pages[n]))
         while order:
             longest = len(pages[order[-1]])
-            some = order[-max(1, min(256, 20_000 // longest)):]
+            some = order[-max(1, min(256, CELLS // longest)):]
             del order[-len(some):]
             p = self.scores(*_padded([vectors(pages[n]) for n in some]))
             for k, n in enumerate(some):
@@ -247,25 +294,9 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-# Words by which containers tell their role, for the made layouts and for reading roles off real ones.
-MAIN_TAGS, OTHER_TAGS = frozenset(("article", "main")), frozenset("nav footer aside header form".split())
-MAIN_WORDS = "content article post entry story body text main".split()
-OTHER_WORDS = {
-    "menu": "nav menu navbar navigation topnav breadcrumb".split(), "header": "header masthead banner top logo".split(),
-    "footer": "footer foot bottom copyright legal".split(), "sidebar": "sidebar aside widget related recommended rail".split(),
-    "notice": "cookie consent notice gdpr alert modal popup".split(), "ad": "ad ads advert sponsor promo sponsored".split(),
-    "form": "form newsletter signup subscribe login search".split(), "comments": "comments comment replies discussion respond disqus".split()}
-
-
 def roles(page: list[Block]) -> list[int] | None:
     """1 and 0 by the containers that name a role; None if a page names no main part or leaves blocks open."""
-    out = []
-    others = {"." + w for words in OTHER_WORDS.values() for w in words}
-    for b in page:
-        role = None
-        for step in b.path:  # the innermost that says so
-            role = 1 if step in MAIN_TAGS else 0 if step in OTHER_TAGS or step in others else role
-        out.append(role)
+    out = [b.place.role for b in page]
     return out if 1 in out and None not in out else None
 
 
@@ -329,7 +360,7 @@ def fit_labeller(sample: list[str], layouts: int = LAYOUTS, steps: int = STEPS,
         found = blocks(page)
         labels = roles(found)
         if labels:
-            known.append((vectors(found[:TRAIN_BLOCKS]), np.array(labels[:TRAIN_BLOCKS], np.float32)))
+            known.append((vectors(found), np.array(labels, np.float32)))
         for b in found:
             (long if len(b.text) >= 60 else short).append(b.text)
     long = long or ["A sentence of some length that stands for a paragraph of a page, and ends with a stop."]
@@ -364,7 +395,7 @@ def extract(pages: DataFrame, labeller: BlockLabeller | None = None, html_col: s
 
     ``text`` is the blocks labelled as main text, in page order, joined by line feeds; null or empty html gives
     an empty text, as does a page without such a block.  Rows are judged one by one, so ids may repeat
-    or be null; other columns are dropped.
+    or be null; other columns are dropped.  Pages are read whole, however long or deep; one that is larger than a slice stands alone.
     """
     labeller = labeller or fit_labeller(sample_pages(pages, html_col))
     weights = labeller.weights
