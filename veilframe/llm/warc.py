@@ -93,7 +93,10 @@ def write_archives(planned: DataFrame, path: str, segment_bytes: int = SEGMENT_B
     line = lambda field, value: F.concat(F.lit(f"{field}: "), value.cast("string"), F.lit(CRLF))
     only = lambda test, value: F.when(test, value).otherwise("")
     follows, split, again = F.col("part") > 0, F.col("last") > 0, F.col("first").isNotNull()
-    uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    # Control characters, line ends above all, cannot stand in a header line.
+    uri = F.expr(
+        r"if(url rlike '[\\x00-\\x1f\\x7f]', array_join(transform(split(url, ''), c -> if(ascii(c) < 32 or ascii(c) = 127, "
+        "concat('%', lpad(hex(ascii(c)), 2, '0')), c)), ''), url)")
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(follows, "continuation").when(again, "revisit").otherwise("response")),
@@ -127,7 +130,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(list(parse_records(path, data)), columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
 
 
-_BREAK = re.compile(rb"\r?\n\r?\n")
+_BREAK, _LINE = re.compile(rb"\r?\n\r?\n"), re.compile(rb"\r?\n")
 
 
 def parse_records(path: str, data: bytes) -> Iterator[tuple]:
@@ -138,9 +141,9 @@ def parse_records(path: str, data: bytes) -> Iterator[tuple]:
             yield (path, *[None] * 9, f"no record head at byte {at}")
             return
         fields = {}
-        for text in data[at:end.start()].decode("utf-8", "replace").splitlines()[1:]:
-            key, _, value = text.partition(":")
-            fields[key.strip().lower()] = value.strip()
+        for line in _LINE.split(data[at:end.start()])[1:]:  # no other character ends a line
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[key.strip(" \t").lower()] = value.strip(" \t")
         size = fields.get("content-length", "")
         if not size.isdigit() or end.end() + int(size) > len(data):
             yield (path, *[None] * 9, f"the record at byte {at} breaks off")
