@@ -212,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
         "id is not null and label is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    if share < 1:
+        known = known.where(F.shiftrightunsigned(F.xxhash64("id"), 1) < int(share * 2**63))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = written(texts.join(known, "id").groupBy(F.sha2("text", 256).alias("key")).agg(
         F.first("text").alias("text"), F.max("label").alias("label")).withColumn("number", F.monotonically_increasing_id()), "toxic-sample")
@@ -300,11 +301,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w.tolist()
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity_score`` (0 to 1); only the text is looked at.
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1); only the text is looked at, all of it.
 
-    Null and empty texts are scored as texts without a hit.  A column of that name is replaced.
+    Null and empty texts are scored as texts without a hit.  A frame that has a column of that name is refused.
     """
+    if score_col in docs.columns:
+        raise ValueError(f"the frame has a column {score_col}; choose another name")
+
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = Featurizer(model.terms)
@@ -313,14 +317,15 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             x = np.array([of.row(t) for t in texts]).reshape(len(texts), len(FEATURES))
             yield pd.Series(1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ weights[:-1] + weights[-1], -30, 30))))
 
-    return docs.withColumn("toxicity_score", scores(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(score_col, scores(F.col(f"`{text_col}`").cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted.
 
-    A null id counts as the text ''.  Repeated rows are scored alike.  Empty tables give an empty result.
+    A null id counts as the text ''.  Repeated rows are scored alike.  Empty tables give an empty result.  Other columns
+    stay out, whatever their names.
     """
     model = fit(docs, labels, id_col, text_col, label_col, sample_rows)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -333,6 +338,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that score below one half, with their columns as they are."""
     model = fit(docs, labels, id_col, text_col, label_col, sample_rows)
-    key = "__llm_toxic_text"
-    scored = score(docs.withColumn(key, F.col(f"`{text_col}`")), model, key)
-    return scored.where("toxicity_score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A name that no column of the frame has.
+    own = max((c for c in docs.columns), key=len, default="") + "_toxicity"
+    return score(docs, model, text_col, own).where(F.col(f"`{own}`") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
