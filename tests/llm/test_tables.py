@@ -280,7 +280,7 @@ def test_html(spark):
     found = html_text.blocks(page)
     assert [b.text for b in found] == ["Home", "Buy this now.", "Head & line", "First paragraph of the page, long enough to read.",
                                        "Second one é <b> here, also with some words in it.", "© Footer"]
-    assert found[0].linked == 4 and "article" in found[3].path and found[4].path.count("p") == 1
+    assert found[0].linked == 4 and found[3].place.role == 1 and found[4].place.name == "p"
     labeller = html_text.fit_labeller([page] * 4, layouts=200, steps=120)
     rows = [(1, page, "u"), (2, None, "u"), (3, "", None), (None, "<p>", "u"), (1, page, "u")]
     pages = spark.createDataFrame([(i, u, h, "x") for i, h, u in rows], "page_id long, url string, html string, text string")
