@@ -12,7 +12,7 @@ from catalog.governance import (
 from catalog.tables import BATCH_TS, documents, table
 from veilframe.functions import text as tx
 from veilframe.operators.policy import GovernancePolicy
-from veilframe.plans import jobs
+from veilframe.plans import jobs, nested
 from veilframe.session import shared_folder
 from veilframe.streaming import streams
 
@@ -178,6 +178,38 @@ SELECT '{t}' AS table_name, '{c}' AS column_name, entity_type, count(DISTINCT id
   count(*) AS entities
 FROM ({duck.spans(f'SELECT {k} AS id, {c} AS text FROM {t}')}) GROUP BY entity_type""" for t, k, c in _COLUMNS))
 
+_NESTED = ("""named_struct('mails', array(concat('u', o_custkey, '@example.com'), if(o_orderkey % 2 = 0, concat('v', o_orderkey, '@x.org'), null)),
+               'text', if(o_orderkey % 3 = 0, 'call 555-123-4567', null), 'n', o_orderkey) as contact""",
+  """map('ip', array(concat('10.0.', o_custkey % 200, '.1'), 'none')) as tags""",
+  """if(o_orderkey % 7 = 0, concat('no json, z', o_orderkey, '@x.org'),
+     concat('{"who":{"mail":"w', o_custkey, '@x.org","n":', o_orderkey, '},"log":["host 10.1.1.', o_orderkey % 200, '",{"note":"',
+            if(o_orderkey % 5 = 0, 'SSN 219-09-9999', 'none'), '"}]}')) as raw""")
+
+
+def l7_nested_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structs, arrays, maps and JSON of every order, profiled by path."""
+    orders = table(spark, sf_dir, "orders").selectExpr(*_NESTED)
+    return nested.path_profile(orders, json_columns=["raw"], entities=["EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "US_SSN"])
+
+
+_PATHS = [("contact.mails[]", "EMAIL_ADDRESS", "1 + (o_orderkey % 2 = 0)::int"), ("contact.text", "PHONE_NUMBER", "(o_orderkey % 3 = 0)::int"),
+          ("tags{}[]", "IP_ADDRESS", "1"), ("raw", "EMAIL_ADDRESS", "(o_orderkey % 7 = 0)::int"),
+          ("raw.who.mail", "EMAIL_ADDRESS", "(o_orderkey % 7 <> 0)::int"), ("raw.log[]", "IP_ADDRESS", "(o_orderkey % 7 <> 0)::int"),
+          ("raw.log[].note", "US_SSN", "(o_orderkey % 7 <> 0 and o_orderkey % 5 = 0)::int")]
+ENTRIES["l7_nested_profile"] = (l7_nested_profile, " UNION ALL ".join(f"""
+SELECT '{path}' AS path, '{kind}' AS entity_type, sum({n})::bigint AS values_affected, sum({n})::bigint AS entities FROM orders
+HAVING sum({n}) > 0""" for path, kind, n in _PATHS))
+
+
+def l7_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value in the JSON properties of all events, with its path."""
+    return nested.text_leaves(table(spark, sf_dir, "events"), ["props"], json_columns=["props"], numbers=True, keep=["event_id"])
+
+
+ENTRIES["l7_json_texts"] = (l7_json_texts, """
+SELECT event_id, 'props.' || key AS path, json_extract_string(props, '$.' || key) AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+
 # --- M: streams ----------------------------------------------------------------------------------
 
 _DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
