@@ -149,7 +149,10 @@ def _answer_counts(_: int, shard: ex.Shard):
 
 
 def _answer_weights(_: int, shard: ex.Shard):
-    """Denominator and log10 weight of every context; one and zero where training has not seen it."""
+    """Denominator and log10 weight of every context; one and zero where training has not seen it.
+
+    A block that has no unseen n-gram after a context needs no weight of it and gets zero.
+    """
     count, kept, lower = (np.zeros(len(shard.keys)) for _ in range(3))
     for number, into in enumerate((count, kept, lower)):
         np.add.at(into, shard.at, shard.column(number, np.float64))
@@ -159,7 +162,7 @@ def _answer_weights(_: int, shard: ex.Shard):
     weight[seen] = np.log10(left[seen] / total[seen] / np.maximum(1 - lower[seen], 1e-15))
     total[~seen] = 1
     table = [ex.sorted_planes(shard.keys[seen]), ex.planes(total[seen]), ex.planes(weight[seen])]
-    return [total[shard.at], weight[shard.at]], [float(seen.sum())], table
+    return [total[shard.at], weight[shard.at] * shard.column(3, np.uint8)], [float(seen.sum())], table
 
 
 def _left_over(count, kept):
@@ -249,7 +252,9 @@ def _ask_weights(level: int, totals, shards: int):
                 count, place = reply[own] >> 1, first[own]
                 sums = [np.bincount(of[place], weights=w, minlength=len(contexts)) for w in (
                     count, totals.value[level - 1].kept(count), 10.0 ** score[place])]
-                yield ex.ask_batch(list(ex.asks(_WEIGHTS + level, row["block"], contexts, sums, shards)))
+                backs_off = np.zeros(len(contexts), np.uint8)
+                backs_off[of[first[reply >> 1 == 0]]] = 1
+                yield ex.ask_batch(list(ex.asks(_WEIGHTS + level, row["block"], contexts, [*sums, backs_off], shards)))
                 ex.give_back()
 
     return ask
