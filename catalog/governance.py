@@ -736,3 +736,33 @@ def a8_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES["a8_fan_out"] = (a8_fan_out, f"""
 SELECT classification, count(*) AS in_file, count(*) AS in_outbox, '_BrokenSink' AS failed_sinks
 FROM ({DUCK_STATE}) GROUP BY classification""")
+
+
+class _Stop(BaseException):
+    """The job dies here: no sink can catch it."""
+
+
+class _DyingSink:
+    def write(self, audit: DataFrame) -> None:
+        raise _Stop
+
+
+def a8_repeated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that dies between two sinks and is run again, twice: every record is in each of them once."""
+    audit = event_audit(spark, sf_dir)
+    first = sinks.JsonLinesSink(shared_folder(spark, "run-json"))
+    second = sinks.OutboxSink("https://hooks.example.com/audit", shared_folder(spark, "run-outbox"))
+    try:
+        sinks.fan_out(audit, [first, _DyingSink(), second], run_id="2026-01-01")
+    except _Stop:
+        pass
+    for _ in range(2):
+        sinks.fan_out(audit, [first, second], run_id="2026-01-01")
+    stored = [sink.query(audit).select("audit_id", "action", F.lit(name).alias("sink")) for sink, name in ((first, "file"), (second, "outbox"))]
+    return stored[0].unionByName(stored[1]).groupBy("sink", "action").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("audit_id").alias("ids"))
+
+
+ENTRIES["a8_repeated_run"] = (a8_repeated_run, f"""
+SELECT sink, action, count(*) AS records, count(*) AS ids FROM ({DUCK_EVENTS}), (VALUES ('file'), ('outbox')) s(sink)
+GROUP BY sink, action""")

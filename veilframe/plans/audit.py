@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.sqltext import lit
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.plans.protect import AUDIT_DDL, audit_id_sql, now_iso, utc_timestamp
+from veilframe.sources.commits import read_committed, write_once
 
 
 def audit_rows(governed: DataFrame) -> DataFrame:
@@ -168,11 +169,18 @@ def retain_newest(audit: DataFrame, max_records: int = 10_000, within_task: int
     return audit.where(second > cut).unionByName(newest(audit.where(second == cut), left))
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Append to the audit table at ``path``."""
+def write_audit(audit: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Append to the audit table at ``path``; with ``run_id`` once, however often the run is repeated.
+
+    True if rows were added.
+    """
     dated = audit.withColumn("date", utc_date(F.col("ts")))
+    if run_id is not None:
+        return write_once(dated, path, run_id, lambda rows, folder: rows.write.partitionBy("date", "action").parquet(folder))
     dated.write.mode("append").partitionBy("date", "action").parquet(path)
+    return True
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{AUDIT_DDL}, date date").parquet(path)
+    """The table: appended records, and those of committed runs."""
+    return read_committed(spark, path, f"{AUDIT_DDL}, date date")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.plans.protect import scan_and_protect, with_spans
+from veilframe.sources.commits import write_once
 
 BLOCKED, ANONYMIZED, PASSED = "BLOCKED", "ANONYMIZED", "PASSED"
 
@@ -39,9 +40,13 @@ def tiered_route(
     )
 
 
-def write_routed(routed: DataFrame, path: str) -> None:
-    """One folder per route, so a consumer reads only what it may see."""
+def write_routed(routed: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """One folder per route, so a consumer reads only what it may see; with ``run_id`` once per run, to be read with
+    ``sources.commits.read_committed``.  True if rows were added."""
+    if run_id is not None:
+        return write_once(routed, path, run_id, lambda rows, folder: rows.write.partitionBy("route").parquet(folder))
     routed.write.mode("append").partitionBy("route").parquet(path)
+    return True
 
 
 def leak_gate(df: DataFrame, text_col: str, max_entities: int = 0, **settings: Any) -> DataFrame:

@@ -20,6 +20,7 @@ from veilframe.functions.sqltext import ident, lit
 from veilframe.functions.text import DEFAULT_MAX_CHARS, size_error
 from veilframe.operators import alerts, anonymize as anon, classify as cls, gazetteer
 from veilframe.operators.detect import spans_sql
+from veilframe.operators.overlaps import settled
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.operators.recognizers import RecognizerRegistry
 from veilframe.plans.span_tables import collect_spans, term_spans
@@ -153,8 +154,10 @@ def with_spans(
     # the analyzer goes over an expression once per level of nesting, so two shallow ones cost less than a deep one.
     once = df.select("*", F.expr(f"explode(array({found}))").alias("spans")).drop(*names)
     if resolve:
-        kept = F.expr(f"explode(array({sp.resolve_overlaps('_found')}))").alias("spans")
-        once = once.withColumnRenamed("spans", "_found").select("*", kept).drop("_found")
+        once = once.withColumnRenamed("spans", "_found")
+        # Only detectors of the caller report chains of many spans.
+        kept = settled("_found") if names else F.expr(sp.resolve_overlaps("_found"))
+        once = once.select("*", F.explode(F.array(kept)).alias("spans")).drop("_found")
     return once.withColumn("error", F.expr(size_error(text, max_chars)))
 
 

@@ -12,6 +12,7 @@ from veilframe.functions.spans import NO_SPANS, SPAN_TYPE, gathered, match_offse
 from veilframe.functions.sqltext import ident
 from veilframe.functions.text import sections
 from veilframe.operators.detect import spans_sql
+from veilframe.operators.overlaps import settled
 from veilframe.operators.recognizers import CONTEXT_CHARS, Recognizer, RecognizerRegistry
 
 # A term's words: letters of any script, digits and the marks names are written with.
@@ -159,7 +160,7 @@ def resolve_table(spans: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     marked = spans.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(by_start))
     fields = [p.split(":")[0] for p in SPAN_TYPE[len("struct<"):-1].split(",")]
     runs = marked.groupBy(*id_cols, "_run").agg(F.collect_list(F.struct(*fields)).alias("run"))
-    kept = runs.select(*id_cols, F.explode(F.expr(resolve_overlaps("run"))).alias("s"))
+    kept = runs.select(*id_cols, settled("run").alias("run")).select(*id_cols, F.explode("run").alias("s"))
     return kept.select(*id_cols, "s.*")
 
 

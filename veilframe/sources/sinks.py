@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from typing import Any, Protocol
+from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.plans.audit import export_columns
 from veilframe.session import remove_folder, shared_folder
+from veilframe.sources.commits import CommitLog, read_committed, write_once
 
 log = logging.getLogger(__name__)
 
@@ -21,6 +23,15 @@ class Sink(Protocol):
     def write(self, audit: DataFrame) -> None: ...
 
 
+@runtime_checkable
+class RunSink(Sink, Protocol):
+    """A sink that takes the rows of a run once, however often the run is repeated."""
+
+    def write_run(self, audit: DataFrame, run_id: str) -> bool: ...
+
+    def has_run(self, spark: SparkSession, run_id: str) -> bool: ...
+
+
 class JsonLinesSink:
     """Appends one JSON object per record under ``path``."""
 
@@ -30,9 +41,15 @@ class JsonLinesSink:
     def write(self, audit: DataFrame) -> None:
         export_columns(audit).write.mode("append").json(self.path)
 
+    def write_run(self, audit: DataFrame, run_id: str) -> bool:
+        return write_once(export_columns(audit), self.path, run_id, lambda rows, folder: rows.write.json(folder))
+
+    def has_run(self, spark: SparkSession, run_id: str) -> bool:
+        return CommitLog(spark, self.path).committed(run_id)
+
     def query(self, audit: DataFrame) -> DataFrame:
-        """The stored records, read with the schema of ``audit``."""
-        return audit.sparkSession.read.schema(export_columns(audit).schema).json(self.path)
+        """The stored records, of committed runs only, read with the schema of ``audit``."""
+        return read_committed(audit.sparkSession, self.path, export_columns(audit).schema, "json")
 
 
 def console_columns(audit: DataFrame) -> DataFrame:
@@ -87,10 +104,27 @@ class OutboxSink:
     def __init__(self, url: str, path: str) -> None:
         self.url, self.path = url, path
 
-    def write(self, audit: DataFrame) -> None:
+    def rows(self, audit: DataFrame) -> DataFrame:
         rows = export_columns(audit).withColumn("webhook_url", F.lit(self.url))
-        named = rows.withColumn("target", F.substring(F.sha2("webhook_url", 256), 1, 16))
-        named.write.mode("append").partitionBy("target").parquet(self.path)
+        return rows.withColumn("target", F.substring(F.sha2("webhook_url", 256), 1, 16))
+
+    def write(self, audit: DataFrame) -> None:
+        self.rows(audit).write.mode("append").partitionBy("target").parquet(self.path)
+
+    def write_run(self, audit: DataFrame, run_id: str) -> bool:
+        # Several addresses may share a path, and each has runs of its own.
+        return write_once(self.rows(audit), self.path, self._own(run_id),
+                          lambda rows, folder: rows.write.partitionBy("target").parquet(folder))
+
+    def has_run(self, spark: SparkSession, run_id: str) -> bool:
+        return CommitLog(spark, self.path).committed(self._own(run_id))
+
+    def _own(self, run_id: str) -> str:
+        return f"{hashlib.sha256(self.url.encode()).hexdigest()[:16]} {run_id}"
+
+    def query(self, audit: DataFrame) -> DataFrame:
+        """The stored records of all addresses, of committed runs only."""
+        return read_committed(audit.sparkSession, self.path, self.rows(audit).schema)
 
 
 def sinks_from_policy(configs: Iterable[Mapping[str, Any]]) -> list[Sink]:
@@ -107,23 +141,35 @@ def sinks_from_policy(configs: Iterable[Mapping[str, Any]]) -> list[Sink]:
     return sinks
 
 
-def fan_out(audit: DataFrame, sinks: Iterable[Sink], staging: str | None = None) -> list[str]:
+def fan_out(audit: DataFrame, sinks: Iterable[Sink], staging: str | None = None, run_id: str | None = None) -> list[str]:
     """Write ``audit`` to every sink; one that fails is logged and does not stop the others.
 
     The rows are written once to a staging table and every sink reads that, so the texts are
     scanned once however many sinks there are and whichever executors are lost meanwhile.
     Returns the class names of the sinks that failed.  The staging table is removed at the end.
+
+    With ``run_id`` a repeated run, after whatever fault, adds nothing to sinks that it has committed to; if these are all,
+    nothing is computed.  Sinks that know no runs are written every time.
     """
     spark = audit.sparkSession
+    if run_id is not None:
+        sinks = [s for s in sinks if not isinstance(s, RunSink) or not s.has_run(spark, run_id)]
+        if not sinks:
+            return []
     folder = staging or shared_folder(spark, "audit-staging")
-    audit.write.mode("overwrite").parquet(folder)
-    staged = spark.read.schema(audit.schema).parquet(folder)
     failed = []
-    for sink in sinks:
-        try:
-            sink.write(staged)
-        except Exception:
-            log.exception("audit sink failed: %s", type(sink).__name__)
-            failed.append(type(sink).__name__)
-    remove_folder(spark, folder)
+    try:
+        audit.write.mode("overwrite").parquet(folder)
+        staged = spark.read.schema(audit.schema).parquet(folder)
+        for sink in sinks:
+            try:
+                if run_id is not None and isinstance(sink, RunSink):
+                    sink.write_run(staged, run_id)
+                else:
+                    sink.write(staged)
+            except Exception:
+                log.exception("audit sink failed: %s", type(sink).__name__)
+                failed.append(type(sink).__name__)
+    finally:
+        remove_folder(spark, folder)
     return failed
