@@ -11,7 +11,9 @@ from catalog import duck
 from catalog.tables import BATCH_TS, K, case_sql, cases, documents, table
 from veilframe.operators import alerts, anonymize as anon, classify as cls
 from veilframe.operators.policy import AlertRule, AuditSettings, GovernancePolicy, OperatorSpec
+from veilframe.operators.tokens import KeyRing
 from veilframe.plans import audit as au
+from veilframe.plans import policy_table as pt
 from veilframe.plans import protect
 from veilframe.plans.protect import classified_columns, explode_spans
 from veilframe.session import shared_folder
@@ -326,6 +328,30 @@ SELECT id AS doc_id, v AS found,
 FROM ({duck.spans(duck.DOCS, ['EMAIL_ADDRESS'])})""")
 
 
+ENTRIES["g4_hmac"] = _rewrite_query(
+    {"type": "hash", "hash_type": "hmac_sha256", "key": "Jefe"},
+    "sha256(unhex('" + bytes(b ^ 0x5C for b in b"Jefe".ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('"
+    + bytes(b ^ 0x36 for b in b"Jefe".ljust(64, b"\0")).hex() + "') || encode(v))))")
+
+
+def g5_joinable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables whose names were encrypted under different keys, joined after one was brought under the other's key."""
+    old, new = "0123456789abcdef", "another key of 32 bytes, longer "
+    former, ring = KeyRing({"k1": old}, "k1"), KeyRing({"k1": old, "k2": new}, "k2")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.expr(ring.token("c_name")).alias("token"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(former.token(
+        "concat('Customer#', lpad(cast(o_custkey * 2 as string), 9, '0'))")).alias("token"))
+    joined = ring.rotated(orders, ["token"]).join(customers, "token")
+    return joined.groupBy("token", "c_custkey").agg(F.count(F.lit(1)).alias("orders")).select(
+        "c_custkey", "orders", F.expr(ring.value("token")).alias("name"), F.expr("substring_index(token, ':', 1)").alias("key_id"))
+
+
+ENTRIES["g5_joinable_tokens"] = (g5_joinable_tokens, """
+SELECT c_custkey, count(*) AS orders, c_name AS name, 'k2' AS key_id
+FROM orders JOIN customer ON c_name = 'Customer#' || lpad(cast(o_custkey * 2 AS string), 9, '0')
+GROUP BY c_custkey, c_name""")
+
+
 def g6_operators_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = anonymize(_docs(spark, sf_dir), "text", ["doc_id"])
     return out.selectExpr("doc_id", f"{MAP_TEXT.format('operators_applied')} as operators_applied")
@@ -766,3 +792,46 @@ def a8_repeated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES["a8_repeated_run"] = (a8_repeated_run, f"""
 SELECT sink, action, count(*) AS records, count(*) AS ids FROM ({DUCK_EVENTS}), (VALUES ('file'), ('outbox')) s(sink)
 GROUP BY sink, action""")
+
+# --- policies over time ------------------------------------------------------------------------------
+
+_TYPED = "case user_id % 5 when 0 then array('EMAIL_ADDRESS') when 1 then array('URL', 'IP_ADDRESS') when 2 then array('US_SSN', 'URL') when 3 then array('BADGE') else array() end"
+_STRICT = GovernancePolicy(name="strict", version="2", entity_sensitivity={"HIGH": ("US_SSN", "EMAIL_ADDRESS"), "MEDIUM": ("BADGE",), "LOW": ("URL",)})
+_LOOSE = GovernancePolicy(name="loose", version="3", entity_sensitivity={"LOW": ("US_SSN", "URL"), "MEDIUM": ("IP_ADDRESS",)})
+_FROM = ("2024-01-05 00:00:00", "2024-01-12 06:00:00", "2024-01-20 12:30:00")
+
+
+def e7_policy_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event classified by the policy that was in force at its time; three versions from a table."""
+    table_ = pt.version_row(spark, _STRICT, _FROM[1]).unionByName(pt.version_row(spark, _LOOSE, _FROM[2])).unionByName(
+        pt.version_row(spark, GovernancePolicy(), _FROM[0]))
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", f"{_TYPED} as entity_types")
+    return pt.with_policy_as_of(events, pt.versions(table_)).select("event_id", "policy_name", "policy_version", "classification")
+
+
+_DUCK_KIND = "user_id % 5"
+_DUCK_LEVELS = {
+    "default": "case {k} when 0 then 'CONFIDENTIAL' when 1 then 'CONFIDENTIAL' when 2 then 'RESTRICTED' when 3 then 'INTERNAL' else 'PUBLIC' end",
+    "strict": "case {k} when 0 then 'RESTRICTED' when 1 then 'INTERNAL' when 2 then 'RESTRICTED' when 3 then 'CONFIDENTIAL' else 'PUBLIC' end",
+    "loose": "case {k} when 0 then 'INTERNAL' when 1 then 'CONFIDENTIAL' when 2 then 'INTERNAL' when 3 then 'INTERNAL' else 'PUBLIC' end",
+}
+_DUCK_LEVELS = {k: v.format(k=_DUCK_KIND) for k, v in _DUCK_LEVELS.items()}
+ENTRIES["e7_policy_as_of"] = (e7_policy_as_of, f"""
+WITH p AS (SELECT *, case when ts >= TIMESTAMP '{_FROM[2]}' then 'loose' when ts >= TIMESTAMP '{_FROM[1]}' then 'strict'
+  when ts >= TIMESTAMP '{_FROM[0]}' then 'default' end AS policy_name FROM events)
+SELECT event_id, policy_name, case policy_name when 'loose' then '3' when 'strict' then '2' when 'default' then '1.0' end AS policy_version,
+  case policy_name when 'loose' then {_DUCK_LEVELS['loose']} when 'strict' then {_DUCK_LEVELS['strict']}
+    when 'default' then {_DUCK_LEVELS['default']} end AS classification
+FROM p""")
+
+
+def e6_policy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a new policy classifies otherwise, with both classifications."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", f"{_TYPED} as entity_types", "'default' as policy_name", "'1.0' as policy_version")
+    audit = events.withColumn("classification", F.expr(cls.classification("entity_types", GovernancePolicy())))
+    return pt.reclassified(audit, GovernancePolicy(), _STRICT).select("event_id", "previous_classification", "classification", "policy_version")
+
+
+ENTRIES["e6_policy_delta"] = (e6_policy_delta, f"""
+SELECT event_id, {_DUCK_LEVELS['default']} AS previous_classification, {_DUCK_LEVELS['strict']} AS classification, '2' AS policy_version
+FROM events WHERE {_DUCK_LEVELS['default']} <> {_DUCK_LEVELS['strict']}""")

@@ -7,9 +7,9 @@ from typing import Any
 
 from veilframe.functions.sqltext import lit, lits
 from veilframe.operators.policy import GovernancePolicy, OperatorSpec
+from veilframe.operators.tokens import encrypted, hmac_sha256
 
 _HASHES = {"sha256": 256, "sha512": 512}
-_AES_KEY_BYTES = (16, 24, 32)
 
 
 def operator_sql(spec: OperatorSpec, value: str) -> str:
@@ -30,14 +30,14 @@ def operator_sql(spec: OperatorSpec, value: str) -> str:
         return f"concat({stars}, substring({value}, {n + 1}))"
     if spec.operator == "hash":
         kind = p.get("hash_type", "sha256")
+        if kind == "hmac_sha256":
+            if not p.get("key"):
+                raise ValueError("hmac_sha256 needs a key")
+            return hmac_sha256(value, str(p["key"]).encode())
         if kind not in _HASHES:
-            raise ValueError(f"hash_type must be one of {sorted(_HASHES)}")
+            raise ValueError(f"hash_type must be one of {sorted((*_HASHES, 'hmac_sha256'))}")
         return f"sha2(concat({lit(str(p.get('salt', '')))}, {value}), {_HASHES[kind]})"
-    key = str(p.get("key", ""))
-    if len(key.encode()) not in _AES_KEY_BYTES:
-        raise ValueError("encrypt needs a key of 16, 24 or 32 bytes")
-    # base64 breaks long output into lines; a token must stay on one.
-    return f"translate(base64(aes_encrypt({value}, {lit(key)}, 'CBC', 'PKCS')), '\\r\\n', '')"
+    return encrypted(value, str(p.get("key", "")), joinable=bool(p.get("joinable", False)), key_id=str(p.get("key_id", "")))
 
 
 def _with_default(spec: OperatorSpec, entity_type: str) -> OperatorSpec:
