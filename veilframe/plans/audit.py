@@ -7,15 +7,16 @@ partitions they name.
 from __future__ import annotations
 
 import json
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.sqltext import lit
 from veilframe.operators.policy import GovernancePolicy
 from veilframe.plans.protect import AUDIT_DDL, audit_id_sql, now_iso, utc_timestamp
+from veilframe.session import remove_folder, shared_folder
 from veilframe.sources.commits import read_committed, write_once
 
 
@@ -144,29 +145,109 @@ def audit_totals(audit: DataFrame, limit: int = 50, **filters: str | None) -> Da
 
 
 def retain_newest(audit: DataFrame, max_records: int = 10_000, within_task: int = 100_000) -> DataFrame:
-    """Bounded retention: the newest ``max_records`` records.
+    """Bounded retention: the newest ``max_records`` records, by time and then by id.
 
-    Up to ``within_task`` records this is a top-k.  More are kept by a cut in time: records are counted
-    per second, the counts (no rows) are summed from the newest second on, and only the second in
-    which the number is reached is ordered.
+    Up to ``within_task`` records this is a top-k.  Beyond, the record with which the number is reached is searched in the
+    records' keys, which are written first: counts per stretch of time narrow the stretch it lies in, then counts
+    per next character of the id.  A step sends the driver a few thousand counts at most; no step orders records, and no task holds more
+    than ``within_task`` of them, however many share one time.
     """
     if max_records <= within_task:
         return newest(audit, max_records)
-    second = F.date_trunc("second", "ts")
-    counts = audit.groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    hours = counts.groupBy(F.date_trunc("hour", "second").alias("hour")).agg(F.sum("n").alias("n"))
-    by_hour = hours.withColumn("newer", F.sum("n").over(Window.orderBy(F.desc("hour")))).where(F.col("newer") >= max_records)
-    edge = by_hour.orderBy(F.desc("hour")).first()
-    if edge is None:
+    spark = audit.sparkSession
+    folder = shared_folder(spark, "audit-keys")
+    audit.select(F.unix_micros("ts").alias("at"), F.col("audit_id").alias("id")).write.parquet(folder)
+    keys = spark.read.schema("at bigint, id string").parquet(folder)
+    try:
+        cut = _cut_key(keys, max_records, within_task)
+    finally:
+        remove_folder(spark, folder)
+    if cut is None:
         return audit
-    left = max_records - (edge["newer"] - edge["n"])
-    inside = counts.where(F.date_trunc("hour", "second") == F.lit(edge["hour"])).orderBy(F.desc("second")).collect()
-    for row in inside:  # at most 3,600 seconds
-        if row["n"] >= left:
+    at, key, ties = cut
+    micros, id_ = F.unix_micros("ts"), F.col("audit_id")
+    if at is None:  # among the records without a time
+        same = micros.isNull()
+        newer = micros.isNotNull()
+    else:
+        same = micros == F.lit(at)
+        newer = micros > F.lit(at)
+    after = id_.isNotNull() if key is None else id_ > F.lit(key)
+    equal = id_.isNull() if key is None else id_ == F.lit(key)
+    # Records of one key are alike in order, so any of them will do.
+    return audit.where(newer | (same & after)).unionByName(audit.where(same & equal).limit(ties))
+
+
+_STRETCHES = 4096
+
+
+def _cut_key(keys: DataFrame, wanted: int, within_task: int) -> tuple[int | None, str | None, int] | None:
+    """(time, id, how many of that key stay) of the ``wanted``-th newest record; None if there are no more.
+
+    Records without a time are the oldest, those without an id the last of their time.
+    """
+    ends = keys.agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).first()
+    if ends["n"] <= wanted:
+        return None
+    low, high, left = ends["low"], ends["high"], wanted
+    timed = keys.where("at is not null")
+    at: int | None = None
+    inside = keys.where("at is null")
+    while low is not None:
+        width = max(1, -(-(high - low + 1) // _STRETCHES))
+        here = timed.where((F.col("at") >= low) & (F.col("at") <= high))
+        rows = here.groupBy(F.floor((F.col("at") - F.lit(low)) / F.lit(width)).cast("bigint").alias("k")).count().collect()
+        found = _reached({r["k"]: r["count"] for r in rows}, left)
+        if found is None:  # only records without a time are left
+            left -= sum(r["count"] for r in rows)
+            break
+        k, left, n = found
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+        inside = timed.where((F.col("at") >= low) & (F.col("at") <= high))
+        if low == high:
+            at = low
             break
-        left -= row["n"]
-    cut = F.lit(row["second"])
-    return audit.where(second > cut).unionByName(newest(audit.where(second == cut), left))
+        if n <= within_task:
+            row = inside.orderBy(F.desc("at"), F.desc("id")).limit(left).collect()[-1]
+            return _ties(inside, row["at"], row["id"], left)
+    return _cut_id(inside, at, left, within_task)
+
+
+def _reached(counts: dict, wanted: int) -> tuple[Any, int, int] | None:
+    """The group, from the largest key on, in which the number is reached, how many of it are wanted, and its size."""
+    for k in sorted(counts, reverse=True):
+        if wanted <= counts[k]:
+            return k, wanted, counts[k]
+        wanted -= counts[k]
+    return None
+
+
+def _cut_id(inside: DataFrame, at: int | None, left: int, within_task: int) -> tuple[int | None, str | None, int]:
+    """The same among records of one time: ids are ordered by their bytes, character by character."""
+    start, named = "", inside.where("id is not null")
+    while True:
+        here = named.where(F.col("id").startswith(start)) if start else named
+        rows = here.groupBy(F.substring("id", len(start) + 1, 1).alias("c")).count().collect()
+        found = _reached({r["c"]: r["count"] for r in rows}, left)
+        if found is None:
+            return at, None, left - sum(r["count"] for r in rows)
+        c, left, n = found
+        if not c:  # the id ends here
+            return at, start, left
+        start += c
+        if n <= within_task:
+            ids = named.where(F.col("id").startswith(start)).orderBy(F.desc("id")).limit(left).collect()
+            return _ties(named, at, ids[-1]["id"], left, start)
+
+
+def _ties(inside: DataFrame, at: int | None, key: str | None, left: int, start: str | None = None) -> tuple[int | None, str | None, int]:
+    """How many records of the last key stay: those wanted, less the ones before that key."""
+    before = F.col("id") > F.lit(key) if key is not None else F.col("id").isNotNull()
+    if start is None:
+        before = (F.col("at") > F.lit(at)) | ((F.col("at") == F.lit(at)) & before)
+    else:
+        before &= F.col("id").startswith(start)
+    return at, key, left - inside.where(before).count()
 
 
 def write_audit(audit: DataFrame, path: str, run_id: str | None = None) -> bool:
