@@ -9,10 +9,11 @@ from catalog import duck
 from catalog.governance import (
     ALERTING, DEFAULT, DUCK_ALERTS, DUCK_EVENTS, DUCK_STATE, event_audit, scan_and_protect,
 )
-from catalog.tables import BATCH_TS, documents, table
+from catalog.tables import BATCH_TS, CASE_TEXT, documents, table
 from veilframe.functions import text as tx
 from veilframe.operators.policy import GovernancePolicy
-from veilframe.plans import jobs, nested
+from veilframe.plans import jobs, nested, summaries
+from veilframe.plans.protect import with_spans
 from veilframe.session import shared_folder
 from veilframe.streaming import streams
 
@@ -140,6 +141,33 @@ SELECT source, classification, count(*) AS texts, cast(sum(entities_found) AS bi
 FROM ({DUCK_STATE}) x JOIN documents d ON d.doc_id = x.id GROUP BY source, classification""")
 
 
+def l4_stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order texts summarised by quarter of the year into a store, each quarter a run, and merged over all."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority", "o_orderdate", f"{CASE_TEXT['MIXED']} as text", "quarter(o_orderdate) as quarter")
+    path = shared_folder(spark, "summaries")
+    for quarter in range(1, 5):
+        for _ in range(2):  # a repeated run adds nothing
+            part = orders.where(F.col("quarter") == quarter)
+            summaries.store(summaries.summarized(part, "text", "o_orderpriority", "o_orderdate", entities=_SUMMED), path, f"Q{quarter}")
+    out = summaries.merged(summaries.stored(spark, path))
+    exact = with_spans(orders, "text", entities=_SUMMED).select("o_orderpriority", F.explode("spans").alias("s")).groupBy(
+        F.col("o_orderpriority").alias("g"), F.col("s.entity_type").alias("t")).agg(F.count_distinct("s.text").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.coalesce("exact", F.lit(0))) <= 0.05 * F.coalesce("exact", F.lit(0))
+    joined = out.join(exact, (F.col("grp") == F.col("g")) & F.col("entity_type").eqNullSafe(F.col("t")), "left")
+    return joined.select("grp", "entity_type", "texts", "rows_affected", "entities", near.alias("within_error"))
+
+
+_SUMMED = ["EMAIL_ADDRESS", "US_SSN"]
+_MIXED_ORDERS = f"SELECT o_orderkey AS id, {CASE_TEXT['MIXED']} AS text FROM orders"
+ENTRIES["l4_stored_summaries"] = (l4_stored_summaries, f"""
+WITH sp AS ({duck.spans(_MIXED_ORDERS, ["EMAIL_ADDRESS", "US_SSN"])})
+SELECT o_orderpriority AS grp, NULL AS entity_type, count(*) AS texts, cast(0 AS bigint) AS rows_affected, cast(0 AS bigint) AS entities, true AS within_error
+FROM orders GROUP BY 1
+UNION ALL
+SELECT o_orderpriority, entity_type, cast(0 AS bigint), count(DISTINCT id), count(*), true FROM sp JOIN orders ON o_orderkey = id GROUP BY ALL""")
+
+
 def l5_corpus_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
     governed = scan_and_protect(_docs(spark, sf_dir), "text", ["doc_id"])
     out = jobs.labelled_slices(governed, table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
