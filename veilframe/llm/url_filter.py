@@ -9,6 +9,7 @@ all its tokens are there.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -69,33 +70,60 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     fields = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""),
                          lambda q: F.concat(F.lit("field="), F.substring_index(q, "=", 1)))
     rest = F.array(F.concat(F.lit("scheme="), F.substring_index(url, "://", 1)),
-                   F.concat(F.lit("ending="), F.regexp_extract(path, r"\.([A-Za-z]{1,8})$", 1)))
+                   F.concat(F.lit("ending="), F.regexp_extract(path, r"\.([A-Za-z]+)$", 1)))
     return F.array_distinct(F.when(host == "", F.array().cast("array<string>"))
                             .otherwise(F.concat(parents, steps, fields, rest)))
 
 
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """(token, rep, members) for the tokens in at least ``least`` of ``baskets`` (tokens): tokens that occur in exactly the
+    same rows are one class, called by its first member.
+
+    A row counts by two hashes of its tokens, and exact sums of these tell the sets of rows apart.  Members of a class
+    stand in one row together, so a class is no longer than a row.
+    """
+    hashed = [F.xxhash64("tokens", F.lit(seed)).cast("decimal(20,0)").alias(f"h{seed}") for seed in (1, 2)]
+    each = baskets.select(F.explode(F.array_distinct("tokens")).alias("token"), *hashed)
+    rows = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h1").alias("s1"), F.sum("h2").alias("s2")).where(F.col("n") >= least)
+    groups = rows.groupBy("n", "s1", "s2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select(F.explode("members").alias("token"), F.col("members")[0].alias("rep"), "members")
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, verdict, confidence, support, anchor) from ``labelled`` (tokens array, label string).
+    """(tokens, classes, verdict, confidence, support, anchor) from ``labelled`` (tokens array, label string).
 
-    ``anchor`` is the rule's rarest token.  Rows without tokens or label teach nothing.  Support and
-    confidence bound what is kept; no rule is cut off by a count.
+    Tokens that always occur together are mined as one, since k of them have 2^k frequent sets that all say the same.  ``tokens``
+    holds one of each class that a rule needs and ``classes`` all members: a url fits if it has one member of each
+    class, as it would fit one of the rules that single members make.  ``anchor`` is the rule's rarest class.  Rows without
+    tokens or label teach nothing.  Support and confidence bound what is kept; no rule is cut off by a count.
     """
-    baskets = labelled.where("label is not null and size(tokens) > 0").select(
-        F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
-    if baskets.isEmpty():
-        return labelled.sparkSession.createDataFrame(
-            [], "tokens array<string>, verdict string, confidence double, support double, anchor string")
-    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    spark = labelled.sparkSession
+    taught = written(labelled.where("label is not null and size(tokens) > 0").select(
+        F.monotonically_increasing_id().alias("row"), "tokens", "label"), "url-baskets")
+    n = taught.count()
+    none = spark.createDataFrame(
+        [], "tokens array<string>, classes array<array<string>>, verdict string, confidence double, support double, anchor string")
+    if not n:
+        return none
+    classes = written(token_classes(taught, max(1, math.ceil(min_support * n))), "url-classes")
+    names = classes.select("token", "rep")
+    baskets = taught.select("row", "label", F.explode("tokens").alias("token")).join(bounded_broadcast(names), "token").groupBy("row").agg(
+        F.collect_set("rep").alias("reps"), F.first("label").alias("label"))
+    # Rows without a frequent token count towards the support all the same.
+    baskets = taught.select("row", "label").join(baskets.select("row", "reps"), "row", "left").select(
+        F.concat(F.coalesce("reps", F.array().cast("array<string>")), F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
+    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(written(baskets, "url-items"))
     mined = written(
         model.associationRules.where(F.col("consequent")[0].startswith(_LABEL))
-        .select(F.col("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 999).alias("verdict"),
+        .select(F.col("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_LABEL) + 1})").alias("verdict"),
                 "confidence", "support"), "url-mined")
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
+    members = classes.where("token = rep").select("token", "members")
     anchors = (
-        mined.select("tokens", F.explode("tokens").alias("token")).join(single, "token")
-        .groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("a"))
-        .select("tokens", F.col("a.token").alias("anchor")))
+        mined.select("tokens", F.explode("tokens").alias("token")).join(single, "token").join(members, "token")
+        .groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("a"), F.collect_list("members").alias("classes"))
+        .select("tokens", "classes", F.col("a.token").alias("anchor")))
     mined = written(mined.join(anchors, "tokens"), "url-anchored")
     # A rule says nothing new if a part of it leads to the same verdict as surely.
     wide = mined.select("tokens", "verdict", "confidence", F.explode("tokens").alias("anchor"))
@@ -103,17 +131,20 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
     idle = wide.join(less, ["anchor", "verdict"]).where(
         (F.size("part") < F.size("tokens")) & (F.col("sure") >= F.col("confidence"))
         & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens", "verdict").distinct()
-    return written(mined.join(idle, ["tokens", "verdict"], "left_anti"), "url-rules")
+    return written(mined.join(idle, ["tokens", "verdict"], "left_anti").select(*none.columns), "url-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, verdict) for the rows of ``urls`` (row, tokens) that a rule matches: the surest rule wins,
     then the better supported, then the longer, then block before allow."""
-    index = bounded_broadcast(rules.select("anchor", F.col("tokens").alias("needed"), "verdict", "confidence", "support"))
+    # A rule stands in the index under every member of its rarest class.
+    listed = rules.withColumn("needed", F.transform("classes", lambda c: F.array_sort(c)))
+    anchors = F.flatten(F.filter("needed", lambda c: F.array_contains(c, F.col("anchor"))))
+    index = bounded_broadcast(listed.select(F.explode(anchors).alias("anchor"), "needed", "verdict", "confidence", "support"))
     rank = F.struct("confidence", "support", F.size("needed"), "verdict")
     return (
         urls.select("row", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
-        .where(F.size(F.array_except("needed", "tokens")) == 0)
+        .where(F.forall("needed", lambda c: F.arrays_overlap(c, F.col("tokens"))))
         .groupBy("row").agg(F.max(rank).alias("best")).select("row", F.col("best.verdict").alias("verdict")))
 
 
@@ -125,7 +156,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None
     ``labels`` (url, label) are what FP-growth learns from; without them it learns from the urls that the
     given rules decide.  A url that neither a given nor a mined rule decides gets ``default``, as do null
     urls and those without ``://``, whose host and path are empty.  Ids may repeat or be null: every
-    row is judged by itself.  Columns other than the two named are not read.
+    row is judged by itself.  Columns other than the two named are not read.  Urls are read whole, however long.
     """
     url = F.col("url")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
