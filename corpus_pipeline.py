@@ -1,7 +1,13 @@
-"""From raw documents to packed training sequences: five stages, each on all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each on all that the one before kept.
+
+Null and empty texts pass every filter as empty texts (of several, exact dedup keeps one) and become sequences'
+closing marks; null ids and repeated rows are rows like others; an empty table gives an empty result.  Columns of
+documents pass through the filters as they are, whatever their names.  Texts of any length are worked on whole.
+"""
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_left: list[str] = []
+class _Run(threading.local):
+    """What the last stage of this thread's run left behind; runs in other threads keep theirs."""
+
+    def __init__(self) -> None:
+        self.left: list[str] = []
+
+
+_run = _Run()
 
 
 def _stage(work):
     """A stage gets documents that have been written, so what the one before left behind is read no more."""
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, *_left)
+        discard(spark, *_run.left)
         known = set(SCRATCH)
         out = work(spark, docs, sf_dir)
-        _left[:] = [path for path in SCRATCH if path not in known]
+        _run.left = [path for path in SCRATCH if path not in known]
         return out
 
     return run_stage

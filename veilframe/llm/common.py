@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,27 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return table
 
 
-#: The folders that :func:`written` made in this process and nobody has removed, oldest first.
-SCRATCH: list[str] = []
+class _Scratch(threading.local):
+    """Folders in the order in which they were made; every thread of the driver, and so every run, has its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(tuple(self.paths))
+
+    def __contains__(self, path: str) -> bool:
+        return path in self.paths
+
+    def append(self, path: str) -> None:
+        self.paths.append(path)
+
+    def remove(self, path: str) -> None:
+        self.paths.remove(path)
+
+
+#: The folders that :func:`written` made in this thread and nobody has removed, oldest first.
+SCRATCH = _Scratch()
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -63,7 +85,7 @@ def bounded_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFra
     return F.broadcast(table) if size <= limit else table
 
 
-def components(edges: DataFrame, purpose: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, component) for the nodes of undirected ``edges`` (a, b); component is the least node in it.
 
     Contraction in rounds: every node moves to the neighbour (or itself) that comes first in a hashed
@@ -75,9 +97,9 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
     names = written(
         edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         .withColumn("at", F.col("node")), f"{purpose}-names")
-    for turn in range(max_rounds):
-        if edges.isEmpty():
-            break
+    turn = -1
+    while not edges.isEmpty():  # every round joins two nodes at least
+        turn += 1
         both = edges.union(edges.select("b", "a"))
         first = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b")))
         moves = written(
@@ -95,7 +117,5 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             f"{purpose}-edges")
         discard(spark, *old, moves.scratch)
-    else:
-        raise RuntimeError("the components did not settle")
     least = written(names.groupBy("at").agg(F.min("node").alias("component")), f"{purpose}-least")
     return written(names.join(least, "at").select("node", "component"), purpose)
