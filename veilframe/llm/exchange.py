@@ -48,15 +48,19 @@ def block_number(turn: int) -> int:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The values' bytes, all first ones, all second ones and so on."""
+    """The values' bytes, all first ones, all second ones and so on, compressed; their length stands before them."""
     if not len(values):
         return b""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(raw.reshape(-1), codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+    if not data:
+        return np.zeros(0, dtype)
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
 def sorted_planes(keys: np.ndarray) -> bytes:
