@@ -15,7 +15,7 @@ from veilframe.operators.policy import GovernancePolicy
 from veilframe.plans import jobs, nested, summaries
 from veilframe.plans.protect import with_spans
 from veilframe.session import shared_folder
-from veilframe.streaming import streams
+from veilframe.streaming import escalation, streams
 
 ENTRIES: dict = {}
 DUCK_ALL = duck.spans(duck.DOCS)
@@ -341,3 +341,32 @@ FROM ({duck.per_text(duck.DOCS, 'SELECT * FROM sp', duck.classification() + ' AS
 UNION ALL
 SELECT 'strict', '2.0', (SELECT count(*) FROM documents), count(DISTINCT id) FILTER (entity_type = 'EMAIL_ADDRESS'), 1
 FROM sp""")
+
+
+def m3_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three RESTRICTED events of one type within half an hour, found on a stream in order of event time."""
+    audit = event_audit(spark, sf_dir).join(table(spark, sf_dir, "events").selectExpr(
+        "lpad(cast(event_id as string), 12, '0') as audit_id", "event_type as source"), "audit_id").select("source", "ts", "audit_id", "classification")
+    # One more event a year later for every source: the stream judges what it knows to be complete.
+    ends = audit.groupBy("source").agg(F.expr("max(ts) + interval 1 year").alias("ts"), F.lit("end").alias("audit_id"), F.lit("PUBLIC").alias("classification"))
+    folder, out = shared_folder(spark, "escalation-in"), shared_folder(spark, "escalation-out")
+    audit.unionByName(ends).write.parquet(folder)
+    keys = {"spark.sql.streaming.stateStore.providerClass": escalation.PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        stream = streams.read_stream(spark, folder, "source string, ts timestamp, audit_id string, classification string")
+        found = escalation.escalations(stream, "source", least=3, span="30 minutes")
+        _finish(streams.to_files(found, out, shared_folder(spark, "escalation-check")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(escalation.OUTPUT).parquet(out).selectExpr("source", "kind", "record_id", "cast(restricted as bigint) as restricted")
+
+
+ENTRIES["m3_escalations"] = (m3_escalations, """
+SELECT source, 'escalation' AS kind, record_id, n AS restricted FROM (
+  SELECT event_type AS source, lpad(cast(event_id AS string), 12, '0') AS record_id,
+    count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW) AS n
+  FROM events WHERE user_id % 4 = 3) WHERE n >= 3""")
