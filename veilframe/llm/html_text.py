@@ -255,12 +255,15 @@ class BlockLabeller:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        pages = sorted(pages, key=lambda p: len(p[0]))  # a batch has pages of like length, as many as it has room for
+        # A batch is drawn from all pages of usual length; longer ones learn among their like, as many as there is room for.
+        pages = sorted(pages, key=lambda p: len(p[0]))
+        usual = sum(len(x) <= CELLS // batch for x, _ in pages)
         for step in range(1, steps + 1):
             first = int(rng.integers(0, len(pages)))
-            longest = len(pages[min(first + batch, len(pages)) - 1][0])
-            near = max(1, min(batch, CELLS // longest))
-            chosen = pages[max(0, min(first, len(pages) - near)):][:near]
+            if first < usual:
+                chosen = [pages[i] for i in (first, *rng.integers(0, usual, batch - 1))]
+            else:
+                chosen = pages[first:first + max(1, CELLS // len(pages[min(first + batch, len(pages)) - 1][0]))][:batch]
             x, mask = _padded([x for x, _ in chosen])
             y = np.zeros_like(mask)
             for n, (_, labels) in enumerate(chosen):
@@ -337,6 +340,8 @@ def made_page(rng: np.random.Generator, long: list[str], short: list[str]) -> tu
         inner, n = f"<h{(k := int(rng.integers(1, 3)))}>{pick(short)}</h{k}>", 1
     for _ in range(int(rng.integers(1, 9))):
         body = pick(long) if rng.random() < 0.85 else pick(short)
+        if rng.random() < 0.03:  # articles hold odd paragraphs too: one word over and over
+            body = " ".join([body.split()[0] if body.split() else "word"] * int(rng.integers(5, 200)))
         kind = rng.random()
         inner += f"<p>{body}</p>" if kind < 0.8 else f"<blockquote>{body}</blockquote>" if kind < 0.85 else f"<ul><li>{body}</li></ul>" if kind < 0.92 else f"<p><b>{body}<br>"
         n += 1
