@@ -114,7 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A word inside any occurrence of a window is hit, once however many windows cover it.  Null and empty
     texts have no words and no hits; repeated rows and null ids are judged row by row; an empty
-    benchmark hits nothing; a null item id never shows in the list.  Other columns are not read.
+    benchmark hits nothing; a null item id never shows in the list.  Other columns are not read.  Texts are read whole, however long;
+    equal items each count by their id.
     """
     corpus = corpus_words(docs, id_col, text_col)
     windows = test_windows(benchmark, window, item_col, item_text_col)

@@ -27,6 +27,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when they are after ``normalise`` (A-Z lower-cased); a null text counts as empty.
     Of equal texts the row with the largest id stays, a null id being least; of repeated rows with that id
     exactly one has kept = true.  An empty table gives an empty result.  Other columns are not read.
+    Texts of any length are compared whole.
     """
     rows = keyed_rows(docs, id_col, text_col).select(F.lit(0).cast("long").alias("key"), "id", normalise(F.col("text")).alias("text"))
     return _partition(rows, first_run, growth).select(

@@ -188,7 +188,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle.  ``class_id`` is the least id of all documents connected by links (similarity of at least
     ``threshold``), ``n_links`` the number of other documents this one is linked with directly, copies
     included.  Null and empty texts have no shingle, no link and a class of their own.  Null ids and
-    repeated rows are documents like others; a class of null ids only has a null id.
+    repeated rows are documents like others; a class of null ids only has a null id.  Other columns are not read.
+    Texts are read whole, however long; an empty table gives an empty result.
     """
     sketches = _sketches(docs, id_col, text_col, width)
     nodes = written(sketches.where("key is not null").groupBy("key").agg(

@@ -115,7 +115,8 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A word goes if a window of ``window`` words that covers it also starts earlier: in a row with a smaller id,
     or earlier in the same row.  Rows with equal ids are ordered by where they are read; null ids come first.
     Null texts have no words.  Words are runs without ASCII white space, unchanged; kept words are joined by
-    one space.
+    one space.  Other columns are not read, so their names cannot clash.  Texts of any length are worked on whole; an
+    empty table gives an empty result.
     """
     base, spans = repeated_starts(docs, id_col, text_col, windows(window), _matcher(window, shard_words), True, most_classes)
 

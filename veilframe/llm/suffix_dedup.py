@@ -76,7 +76,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and removed (the spans as byte offsets).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this or another
-    row; repeated rows are copies of each other.  Null texts are empty.  Ids may be null or repeat.
+    row; repeated rows are copies of each other.  Null texts are empty.  Ids may be null or repeat.  Other columns are
+    not read, so their names cannot clash.  Texts of any length are worked on whole; an empty table gives an empty result.
     """
     base, spans = repeated_starts(docs, id_col, text_col, windows(length), _matcher(length, shard_bytes), False, most_classes)
 

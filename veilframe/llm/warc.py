@@ -222,7 +222,8 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Write the pages as WARC records, read the archives back and describe each record by what was read.
 
     One row per page: ``id_col``, payload_bytes, payload_digest, record_type, refers_to.  Null payloads are
-    empty ones.  An empty table writes no record.  Other columns are not read.
+    empty ones.  An empty table writes no record.  Other columns are not read.  Payloads of any length are written in
+    segments and read back whole; control characters in urls are percent-encoded.
     """
     spark = pages.sparkSession
     path = shared_folder(spark, "archives")
