@@ -246,7 +246,7 @@ _EVENT_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
 
 
 def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.read_stream(spark, sf_dir, _DOC_SCHEMA, pathGlobFilter="documents.parquet")
+    return streams.table_stream(spark, f"{sf_dir}/documents.parquet", _DOC_SCHEMA)
 
 
 def _finish(writer) -> None:
@@ -273,7 +273,7 @@ SELECT x.id AS doc_id, classification, entities_found, new_text AS protected_tex
 
 def m2_windowed_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding windows in append mode: a window comes out once the watermark has passed its end."""
-    stream = streams.read_stream(spark, sf_dir, _EVENT_SCHEMA, pathGlobFilter="events.parquet")
+    stream = streams.table_stream(spark, f"{sf_dir}/events.parquet", _EVENT_SCHEMA)
     audit = stream.selectExpr(
         "cast(ts as timestamp) as ts", "event_type as action",
         "if(user_id % 4 = 0, 'PUBLIC', 'RESTRICTED') as classification", "cast(value as int) as entities_found")

@@ -205,3 +205,28 @@ def test_hot_swap_and_retry(spark):
     later = streams.hot_swap(lambda: strict, "text", ["id"], out, audit, lambda i: TS, initial=GovernancePolicy())
     later(frame, 3)
     assert spark.read.parquet(audit).count() == 2
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_of_a_table_in_a_file_or_a_folder(spark, tmp_path, parts):
+    """m1 and m3 read `documents.parquet` as a file or as a folder of part files; other tables lie beside it."""
+    from catalog.jobs import m1_stream_protect, m3_alert_stream
+    from pyarrow import Table
+    from pyarrow import parquet as pq
+
+    values = [f"Mail user{i}@mail.com of John Smith, SSN 123-45-{6000 + i}" for i in range(6)]
+    table = Table.from_pydict({"doc_id": list(range(6)), "text": values, "lang": ["en"] * 6, "source": ["web"] * 6, "n_chars": [len(v) for v in values]})
+    pq.write_table(Table.from_pydict({"doc_id": [99]}), tmp_path / "labels.parquet")
+    at = tmp_path / "documents.parquet"
+    if parts:
+        at.mkdir()
+        for i in range(parts):
+            pq.write_table(table.slice(i * 2, 2), at / f"part-{i}.parquet")
+    else:
+        pq.write_table(table, at)
+    rows = m1_stream_protect(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(6))
+    assert all(r["entities_found"] == 3 for r in rows)
+    alerts = m3_alert_stream(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in alerts} == set(range(6))
+    assert len(alerts) == len({(r["doc_id"], r["rule"]) for r in alerts})

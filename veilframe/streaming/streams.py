@@ -21,6 +21,17 @@ def read_stream(
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
+def table_stream(
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: Any
+) -> DataFrame:
+    """A stream of one table, which is a file or a folder of files.
+
+    A plain path to a stream must be a folder; a pattern may match either, so the last letter is written as one.
+    """
+    path = path.rstrip("/")
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, fmt, **options)
+
+
 def protect_stream(
     stream: DataFrame, text_col: str, id_cols: Sequence[str], **settings: Any
 ) -> DataFrame:
