@@ -120,6 +120,18 @@ def test_salted_terms_are_not_broadcast(spark, monkeypatch):
     assert sorted((r["id"], r["start"], r["text"]) for r in out.collect()) == [(0, 8, "Ann"), (1, 0, "Bob")]
 
 
+def test_runs_of_a_span_table_are_settled_once(spark):
+    frame = spark.createDataFrame(
+        [(1, 0, 4, "A", 0.5, "abcd"), (1, 2, 9, "A", 0.9, "cdefghi"), (1, 9, 12, "B", 0.5, "jkl"), (2, 3, 5, "A", 0.4, "xy"),
+         (None, 0, 2, "A", 0.4, "no"), (None, 0, 2, "A", 0.4, "no")],
+        "id int, start int, end int, entity_type string, score double, text string")
+    kept = resolve_table(frame, ["id"])
+    assert kept.columns == frame.columns
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = sorted((r["id"] or 0, r["start"], r["end"]) for r in kept.collect())
+    assert got == [(0, 0, 2), (1, 2, 9), (1, 9, 12), (2, 3, 5)]
+
+
 def test_term_spans_brute_force(spark, docs):
     import re
 
