@@ -132,6 +132,25 @@ def test_runs_of_a_span_table_are_settled_once(spark):
     assert got == [(0, 0, 2), (1, 2, 9), (1, 9, 12), (2, 3, 5)]
 
 
+def test_overlap_query_searches_once(spark, tmp_path, monkeypatch):
+    """Also where ids repeat, and where key columns are null, the rows are those of a join of all spans with those kept."""
+    from catalog import detection
+    from catalog.tables import cases
+
+    calls, plain = [], detection.with_spans
+    monkeypatch.setattr(detection, "with_spans", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    keys = [(i, i * 7) for i in range(30)] + [(3, 21), (3, 21), (4, 29), (None, 5), (None, 5), (6, None), (6, 42)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = detection.d1_resolve_overlaps(spark, str(tmp_path))
+    assert len(calls) == 1
+    texts_in = cases(spark, str(tmp_path), "MIXED")
+    kept = detection._span_rows(plain(texts_in, entities=detection._OVERLAPPING), "id").withColumn("kept", F.lit(True))
+    seen = detection._span_rows(plain(texts_in, entities=detection._OVERLAPPING, resolve=False), "id")
+    want = seen.join(kept, seen.columns, "left").fillna(False, ["kept"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r["kept"] for r in got.collect()} == {True, False}
+
+
 def test_term_spans_brute_force(spark, docs):
     import re
 
